@@ -20,7 +20,10 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Zone-less times are read as UTC instants once, here."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
