@@ -116,9 +116,9 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "position
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
-    """(by, value, n) with map-side combine; null values dropped."""
+    """(by, value, _n) with map-side combine; null values dropped."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
 
 
 def quantiles(
@@ -131,16 +131,16 @@ def quantiles(
     """
     by = list(by)
     counts = value_counts(df.withColumn(value, F.col(value).cast("double")), by, value, weight)
-    run = ordered(counts, by, [value], before={"_below": F.col("n")})
+    run = ordered(counts, by, [value], before={"_below": F.col("_n")})
     if by:
-        totals = run.groupBy(*by).agg(F.sum("n").alias("_total"))
+        totals = run.groupBy(*by).agg(F.sum("_n").alias("_total"))
         run = run.join(totals, by)
         total = F.col("_total")
     else:
-        total = F.lit(run.agg(F.sum("n")).first()[0] or 0)
+        total = F.lit(run.agg(F.sum("_n")).first()[0] or 0)
 
     def at(position: Column) -> Column:
-        hit = (F.col("_below") <= position) & (position < F.col("_below") + F.col("n"))
+        hit = (F.col("_below") <= position) & (position < F.col("_below") + F.col("_n"))
         return F.max(F.when(hit, F.col(value)))
 
     aggs = []

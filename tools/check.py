@@ -12,7 +12,7 @@ import os
 import sys
 import time
 import traceback
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
@@ -96,7 +96,8 @@ def main():
 
     bad = 0
     with ThreadPoolExecutor(a.jobs) as pool:
-        for name, took, n, state, note in pool.map(one, chosen):
+        for done in as_completed([pool.submit(one, q) for q in chosen]):
+            name, took, n, state, note = done.result()
             good = state in ("ok", "rows-only")
             bad += not good
             print(f"{'  ' if good else '! '}{name:44s} {took:6.1f}s {n:7d} {state} {note}", flush=True)
