@@ -75,7 +75,7 @@ def ordered(
     placed = placed.withColumn("_part", F.shiftright("_at", ROW_BITS))
     cell = ["_part", *by]
 
-    aggs = [F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")]
+    aggs = [F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")]
     aggs += [F.sum(e).alias(f"_s_{name}") for name, e in {**before, **through}.items()]
     aggs += [F.max_by(e, F.col("_at")).alias(f"_p_{name}") for name, e in previous.items()]
     aggs += [F.min_by(e, F.col("_at")).alias(f"_f_{name}") for name, e in following.items()]
@@ -85,7 +85,7 @@ def ordered(
     across = Window.partitionBy(*by).orderBy("_part")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumns(
-        {"_n0": F.coalesce(F.sum("_n").over(earlier), F.lit(0))}
+        {"_rows0": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
         | {f"_s0_{k}": F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)) for k in {**before, **through}}
         | {f"_p0_{k}": F.lag(f"_p_{k}").over(across) for k in previous}
         | {f"_f0_{k}": F.lead(f"_f_{k}").over(across) for k in following}
@@ -95,7 +95,7 @@ def ordered(
     joined = placed.join(edges, cell)
     out: dict[str, Column] = {}
     if rank:
-        out[rank] = F.col("_at") - F.col("_first") + 1 + F.col("_n0")
+        out[rank] = F.col("_at") - F.col("_first") + 1 + F.col("_rows0")
     for name, e in before.items():
         local = F.sum(e).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         out[name] = F.col(f"_s0_{name}") + F.coalesce(local, F.lit(0))
@@ -105,7 +105,7 @@ def ordered(
     for name, e in previous.items():
         out[name] = F.when(F.col("_at") == F.col("_first"), F.col(f"_p0_{name}")).otherwise(F.lag(e).over(inside))
     for name, e in following.items():
-        last = F.col("_first") + F.col("_n") - 1
+        last = F.col("_first") + F.col("_rows") - 1
         out[name] = F.when(F.col("_at") == last, F.col(f"_f0_{name}")).otherwise(F.lead(e).over(inside))
     return joined.withColumns(out).select(*[c for c in df.columns if c not in out], *out)
 
@@ -186,5 +186,5 @@ def rate(flag: Column) -> Column:
 
 
 def r6(c: Column, digits: int = 6) -> Column:
-    """Rounded for reports and for comparison between engines; never a negative zero."""
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    """Rounded for reports; ties go up by a nudge far below the last digit, and zero has no sign."""
+    return F.round(c.cast("double") + 10.0 ** -(digits + 4), digits) + F.lit(0.0)

@@ -221,10 +221,10 @@ def numbered_events(t: Tables):
     return out.select("event_number", "customer_id", "product_id", "day")
 
 
-@query("H9", """SELECT event_id, month(ts)::INTEGER AS month, (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour, year(ts)::INTEGER AS year,
-round(sin(2 * pi() * (month(ts) - 1) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * (month(ts) - 1) / 12), 6) + 0.0 AS month_cos,
-round(sin(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS weekday_sin, round(cos(2 * pi() * (isodow(ts) - 1) / 7), 6) + 0.0 AS weekday_cos,
-round(epoch_us(ts) / 1e6, 3) AS seconds FROM events""")
+@query("H9", f"""SELECT event_id, month(ts)::INTEGER AS month, (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour, year(ts)::INTEGER AS year,
+{r('sin(2 * pi() * (month(ts) - 1) / 12)')} AS month_sin, {r('cos(2 * pi() * (month(ts) - 1) / 12)')} AS month_cos,
+{r('sin(2 * pi() * (isodow(ts) - 1) / 7)')} AS weekday_sin, {r('cos(2 * pi() * (isodow(ts) - 1) / 7)')} AS weekday_cos,
+{r('epoch_us(ts) / 1e6', 3)} AS seconds FROM events""")
 def date_part_features(t: Tables):
     parts = cl.date_parts("ts")
     smooth = {k: (r6(v, 3 if k == "seconds" else 6) if k in ("month_sin", "month_cos", "weekday_sin", "weekday_cos", "seconds") else v) for k, v in parts.items()}

@@ -205,8 +205,8 @@ def user_time_ks(t: Tables):
     return out.select("column", r6(F.col("ks")).alias("ks"))
 
 
-@query("D12", """SELECT user_id, round(min(t), 6) AS first, round(max(t), 6) AS last, round(max(t) - min(t), 6) AS "window",
-round(CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END, 6) AS mean_gap, count(*) AS events
+@query("D12", f"""SELECT user_id, {r('min(t)')} AS first, {r('max(t)')} AS last, {r('max(t) - min(t)')} AS "window",
+{r('CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END')} AS mean_gap, count(*) AS events
 FROM (SELECT user_id, epoch_us(ts) / 86400e6 AS t FROM events) GROUP BY user_id""")
 def user_time_stats(t: Tables):
     return rounded_columns(ct.entity_time_stats(t.actions, "user_id", "ts"), ["user_id", "events"])

@@ -98,7 +98,7 @@ def unit_sql(seed, *keys: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + 1e-{digits + 4}, {digits}) + 0.0)"
 
 
 SPINE = f"""spine AS (
