@@ -243,4 +243,4 @@ def class_balance_weights(df: DataFrame, column: str, classes: Sequence[str], po
     total = float(max(full.agg(F.sum("n")).first()[0] or 0, 1))
     raw = F.when(F.col("n") > 0, F.pow(F.lit(total) / F.col("n"), F.lit(power)))
     mean = full.agg(F.avg(raw)).first()[0] or 1.0
-    return full.select("class", "n", F.coalesce(F.least(F.greatest(raw / mean, F.lit(low)), F.lit(high)), F.lit(high)).alias("weight"))
+    return full.select("class", "n", F.when(F.col("n") > 0, F.least(F.greatest(raw / mean, F.lit(low)), F.lit(high))).otherwise(F.lit(high)).alias("weight"))
