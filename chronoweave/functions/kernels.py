@@ -156,6 +156,27 @@ def quantiles(
     return picked.select(*by, *cols)
 
 
+def quantile_grid(df: DataFrame, value: str, knots: int) -> DataFrame:
+    """(knot, value) at i/(knots-1) for i = 0..knots-1, for grids too long to spell out as aggregates.
+
+    A run of equal values knows from whole-number arithmetic which knots fall on it, so each knot is
+    emitted once for its lower and once for its upper neighbor.
+    """
+    counts = value_counts(df.withColumn(value, F.col(value).cast("double")), [], value)
+    run = ordered(counts, [], [value], before={"_b": F.col("_n")})
+    total = run.agg(F.sum("_n")).first()[0] or 0
+    m, k = max(total - 1, 1), knots - 1
+    b, e = F.col("_b"), F.col("_b") + F.col("_n")
+    up = lambda c: F.floor((c * k + (m - 1)) / F.lit(m))  # noqa: E731  ceiling of c*k/m
+    spans = F.array(
+        F.struct(F.lit(0).alias("side"), up(b).alias("i0"), F.least(up(e) - 1, F.lit(k)).alias("i1")),
+        F.struct(F.lit(1).alias("side"), F.greatest(F.floor((b - 1) * k / F.lit(m)) + 1, F.lit(0)).alias("i0"), F.least(F.floor((e - 1) * k / F.lit(m)), F.lit(k)).alias("i1")))
+    hit = run.select(value, F.inline(spans)).where(F.col("i0") <= F.col("i1")).select(value, "side", F.explode(F.sequence("i0", "i1")).alias("knot"))
+    pair = hit.groupBy("knot").agg(F.max(F.when(F.col("side") == 0, F.col(value))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col(value))).alias("hi"))
+    weight = F.pmod(F.col("knot") * m, F.lit(k)) / F.lit(k)
+    return pair.select("knot", (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("value"))
+
+
 def tagged(real: DataFrame, synthetic: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Both sides in one table with `is_real`, so that one shuffle serves a comparison."""
     if columns is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from chronoweave.functions import cleaning as cl
 from chronoweave.functions.hashing import hashed_long, hashed_unit
-from chronoweave.functions.kernels import numbered, ordered, quantiles, rate
+from chronoweave.functions.kernels import numbered, ordered, quantile_grid, quantiles, rate
 from chronoweave.operators.splits import average_rank
 from chronoweave.operators.two_sample import metric_rows, stack_reports
 
@@ -302,8 +302,8 @@ def quantile_normalizer(df: DataFrame, key: str, value: str, normal: bool = True
     """(key, scaled): place on the empirical quantile grid (n/30 knots, 10..1000), as uniform or normal score."""
     n = df.where(F.col(value).isNotNull()).count()
     knots = max(min(n // 30, 1000), 10)
-    grid = quantiles(df, value, {str(i): i / (knots - 1) for i in range(knots)}).first()
-    edges = [float(grid[str(i)]) for i in range(knots)]
+    # at most 1,000 knots reach the driver
+    edges = [r["value"] for r in quantile_grid(df, value, knots).orderBy("knot").collect()]
 
     @F.pandas_udf(T.DoubleType())
     def place(x: pd.Series) -> pd.Series:

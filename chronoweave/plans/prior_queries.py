@@ -98,7 +98,7 @@ def gaussian_effect_cells(t: Tables):
     return rounded_columns(pr.gaussian_cells(g, "product_block", "degree", "x", "y"), ["level", "block", "degree_bin", "entities"])
 
 
-ACTIVITY = f"""ed AS (SELECT customer_id, day, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS degree FROM spine GROUP BY ALL),
+ACTIVITY = f"""ec AS (SELECT customer_id, day, count(*) AS n FROM spine GROUP BY customer_id, day), ed AS (SELECT *, sum(n) OVER (PARTITION BY customer_id) AS degree FROM ec),
 am AS (SELECT {MEDIAN.format(e='customer_id')} AS a), bd AS (SELECT customer_block, day, sum(n) AS bn FROM ed JOIN cb USING (customer_id) GROUP BY ALL),
 gd AS (SELECT day, sum(bn) AS gn FROM bd GROUP BY 1), bt AS (SELECT customer_block, sum(bn) AS bt FROM bd GROUP BY 1),
 bp AS (SELECT customer_block, day, (coalesce(bn, 0) + 5 * gn / (SELECT sum(gn) FROM gd)) / (bt + 5) AS p FROM gd CROSS JOIN bt LEFT JOIN bd USING (customer_block, day))"""
@@ -132,7 +132,7 @@ def shrinkage_by_holdout(t: Tables):
 
 
 @query("D20", f"""WITH {SPINE}, {BLOCK_MAPS}, g AS (SELECT customer_id, CAST(day - lag(day) OVER (PARTITION BY customer_id ORDER BY day, event_id) AS DOUBLE) AS gap FROM spine),
-raw AS (SELECT quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) AS raw FROM g WHERE gap IS NOT NULL),
+raw AS (SELECT CASE WHEN quantile_cont(gap, 0.75) > quantile_cont(gap, 0.25) THEN quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) WHEN quantile_cont(gap, 0.5) > 0 THEN quantile_cont(gap, 0.5) ELSE 28 END AS raw FROM g WHERE gap IS NOT NULL),
 b AS (SELECT customer_block, greatest(0.25 * (CASE WHEN quantile_cont(gap, 0.75) > quantile_cont(gap, 0.25) THEN quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) WHEN quantile_cont(gap, 0.5) > 0 THEN quantile_cont(gap, 0.5) ELSE max(raw) END), 1) AS bw
   FROM g JOIN cb USING (customer_id), raw WHERE gap IS NOT NULL GROUP BY 1),
 e AS (SELECT customer_id, count(*) AS n, quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) AS iqr, quantile_cont(gap, 0.5) AS med FROM g WHERE gap IS NOT NULL GROUP BY 1)
@@ -176,7 +176,7 @@ def product_age_affinity(t: Tables):
 # --- supports -----------------------------------------------------------------------------------
 
 NEAREST = """(SELECT x, s AS nearest, abs(x - s) AS distance FROM (SELECT x, s, row_number() OVER (PARTITION BY x ORDER BY abs(x - s), s) AS i
-FROM (SELECT DISTINCT value AS x FROM events), (SELECT DISTINCT quantity AS s FROM lineitem)) WHERE i = 1)"""
+FROM (SELECT DISTINCT value AS x FROM events), (SELECT DISTINCT l_quantity AS s FROM lineitem)) WHERE i = 1)"""
 
 
 @query("C9", f"SELECT x AS value, nearest, {r('distance')} AS distance FROM {NEAREST}")
@@ -267,7 +267,7 @@ def support_calibration_metrics(t: Tables):
     return rounded(su.calibration_metrics(ptable(t)))
 
 
-@query("D33", f"""WITH {SPINE}, g AS (SELECT quantity AS s, (count(*) + 1.0) / sum(count(*) + 1.0) OVER () AS p FROM spine GROUP BY 1), c AS (SELECT strftime(ts, '%Y-%m') AS bucket, quantity AS s, count(*) AS n, sum(count(*)) OVER (PARTITION BY strftime(ts, '%Y-%m')) AS rows FROM spine GROUP BY ALL),
+@query("D33", f"""WITH {SPINE}, g AS (SELECT quantity AS s, (count(*) + 1.0) / sum(count(*) + 1.0) OVER () AS p FROM spine GROUP BY 1), c0 AS (SELECT strftime(ts, '%Y-%m') AS bucket, quantity AS s, count(*) AS n FROM spine GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY bucket) AS rows FROM c0),
 k AS (SELECT bucket, s, n, CAST(rows AS BIGINT) AS rows, (n + 100 * p) / (rows + 100) AS p, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, s) AS i FROM c JOIN g USING (s) WHERE rows >= 20)
 SELECT bucket, s AS support, n, rows, {r('p')} AS p FROM k WHERE i <= 8""")
 def monthly_support_prior(t: Tables):
