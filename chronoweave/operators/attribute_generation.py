@@ -96,10 +96,14 @@ def base_logits(prior_probs, effects: Sequence[tuple], length: int) -> Column:
     zero = F.array(*[F.lit(0.0)] * length)
     for weight, e in effects:
         col = F.coalesce(F.col(e) if isinstance(e, str) else e, zero)
-        out = F.zip_with(out, col, lambda a, b, w=weight: a + F.lit(float(w)) * b)
+        out = F.zip_with(out, _scaled(col, weight), lambda a, b: a + b)
     return out
 
 
+def _scaled(a: Column, weight: float) -> Column:
+    return F.transform(a, lambda v: v * float(weight))
+
+
 def calibrate_to_targets(rows: DataFrame, group: str, logits: str, target: DataFrame, strength: float = 1.0) -> DataFrame:
     """Shift the logits of every time group by strength * (log target - log mean probability). `target` is (group, target array)."""
     p = rows.withColumn("_p", softmax(logits))
