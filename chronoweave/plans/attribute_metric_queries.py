@@ -122,8 +122,8 @@ def customer_rating_diagnostics(t: Tables):
 
 @query("E16", f"""WITH {SPINE}, top AS (SELECT product_id FROM real GROUP BY 1 ORDER BY count(*) DESC, product_id LIMIT 20), c AS (SELECT is_real, product_id, (year(ts) - 1970) * 12 + month(ts) - 1 AS m, count(*) AS n FROM spine WHERE product_id IN (SELECT product_id FROM top) GROUP BY ALL),
 g AS (SELECT DISTINCT product_id, unnest(range(a, b + 1)) AS m FROM (SELECT is_real, product_id, min(m) AS a, max(m) AS b FROM c GROUP BY ALL)), w AS (SELECT product_id, m, sum(n) FILTER (WHERE is_real) AS rn, sum(n) FILTER (WHERE NOT is_real) AS sn FROM c GROUP BY ALL),
-f AS (SELECT product_id, coalesce(rn, 0) AS rn, coalesce(sn, 0) AS sn FROM g LEFT JOIN w USING (product_id, m)), p AS (SELECT product_id, {corr_sql('rn', 'sn')} AS c, max(sn) AS any FROM f GROUP BY 1)
-SELECT {r('avg(c)')} AS mean_corr, count(c) AS entities FROM p WHERE any > 0""")
+f AS (SELECT product_id, coalesce(rn, 0) AS rn, coalesce(sn, 0) AS sn FROM g LEFT JOIN w USING (product_id, m)), p AS (SELECT product_id, {corr_sql("rn", "sn")} AS c, max(sn) AS seen FROM f GROUP BY 1)
+SELECT {r('avg(c)')} AS mean_corr, count(c) AS entities FROM p WHERE seen > 0""")
 def top_product_trajectories(t: Tables):
     return rounded_columns(am.trajectory_correlation(t.spine, "product_id", "ts"), ["entities"])
 
