@@ -230,3 +230,21 @@ def grouped_standardized_error(rows: DataFrame, group: str, target: str, predict
     """Row-weighted absolute gap of group means over a scale."""
     g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(target) - F.avg(prediction)).alias("e"))
     return g.agg((F.sum(F.col("e") * F.col("n")) / F.sum("n") / max(scale, 1e-12)).alias("weighted_error"))
+
+
+def affinity_diagnostics(both: DataFrame, vectors: tuple[DataFrame, DataFrame], gate: str = "gate", alpha: float = 100.0) -> DataFrame:
+    """(metric, value): mean and median gated affinity of both sides, and the KS between their pair scores."""
+    from chronoweave.functions.cleaning import array_sum
+    from chronoweave.operators.priors import time_gates
+
+    cv, pv = vectors
+    rows = both.join(cv.select("customer_id", F.col("vector").alias("u")), "customer_id").join(pv.select("product_id", F.col("vector").alias("v")), "product_id")
+    g = time_gates(rows.where("is_real"), gate, "u", "v", alpha).groupBy(gate).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "weight"))), lambda x: x["weight"]).alias("w"))
+    prod = F.zip_with("u", "v", lambda a, b: a * b)
+    # a gate never fitted weighs every dimension alike
+    gated = F.when(F.col("w").isNotNull(), F.zip_with(prod, "w", lambda a, b: a * b)).otherwise(prod)
+    scored = rows.join(g, gate, "left").select("is_real", F.round(array_sum(gated), 12).alias("score"))
+    mean = scored.agg(F.avg(on_side(True, F.col("score"))).alias("mean_real"), F.avg(on_side(False, F.col("score"))).alias("mean_synthetic"))
+    med = quantiles(scored, "score", {"m": 0.5}, ["is_real"]).select(F.when(F.col("is_real"), "median_real").otherwise("median_synthetic").alias("metric"), F.col("m").alias("value"))
+    ks = ts.ks_distance(scored, "score", empty=0.0)
+    return stack_reports(metric_rows(mean, mean.columns), med, metric_rows(ks, {"ks": F.col("ks")}))

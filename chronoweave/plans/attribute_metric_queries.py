@@ -230,3 +230,32 @@ def text_embedding_centers(t: Tables):
 SELECT {r('avg(c)')} AS mean_best_cosine, {r('min(c)')} AS min_best_cosine FROM m""")
 def closest_text_cosine(t: Tables):
     return rounded_columns(tm.closest_cosine(t.texts, "doc_id", "text"))
+
+
+WORDS = f"""wc AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(string_split(lower(s), ' ')) AS w FROM tk) WHERE w <> '' GROUP BY ALL), dw AS (SELECT w, ' ' || w || ' ' AS p FROM (SELECT DISTINCT w FROM wc)),
+gr AS (SELECT w, substr(p, i, n) AS g FROM (SELECT w, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM dw, (SELECT unnest([3, 4, 5]) AS n))), pl AS (SELECT w, CAST('0x' || substr(md5('gram|' || g), 1, 13) AS BIGINT) % 512 AS i, count(*) AS k FROM gr GROUP BY ALL),
+tf AS (SELECT doc_id, i, sum(c * k) AS tf FROM wc JOIN pl USING (w) GROUP BY ALL), rl AS (SELECT doc_id FROM texts WHERE is_real), df AS (SELECT i, count(*) AS df FROM tf WHERE doc_id IN (SELECT doc_id FROM rl) GROUP BY i),
+wt AS (SELECT doc_id, i, tf * (ln((1.0 + (SELECT count(*) FROM rl)) / (1 + coalesce(df, 0))) + 1) AS v FROM tf LEFT JOIN df USING (i)), nv AS (SELECT doc_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM wt),
+cs AS (SELECT a.doc_id, b.doc_id AS n, sum(a.v * b.v) AS c FROM nv a JOIN nv b USING (i) WHERE a.doc_id NOT IN (SELECT doc_id FROM rl) AND b.doc_id IN (SELECT doc_id FROM rl) GROUP BY ALL), best AS (SELECT doc_id, max(c) AS similarity FROM cs GROUP BY 1)"""
+
+
+@query("C18", f"WITH {TK}, {WORDS} SELECT doc_id, {r('similarity', 5)} AS similarity FROM best")
+def nearest_text_join(t: Tables):
+    out = tm.nearest_texts(t.texts, "doc_id", "text")
+    return out.select("doc_id", r6(F.col("similarity"), 5).alias("similarity"))
+
+
+@query("I40 H13")
+def nearest_text_privacy(t: Tables):
+    """Benchmark passages stand for unseen texts; nearest neighbors depend on ties, so there is no value twin."""
+    test = t.benchmark.select((F.col("item_id") + 10_000_000).alias("doc_id"), "text", F.lit("x").alias("lang"), F.lit("benchmark").alias("source"), F.lit(True).alias("is_real"))
+    return tm.nearest_text_privacy(t.texts, "doc_id", "text", test)
+
+
+@query("I55 J17", "SELECT unnest(['ks', 'mean_real', 'mean_synthetic', 'median_real', 'median_synthetic']) AS metric, true AS finite")
+def dynamic_affinity_diagnostics(t: Tables):
+    from chronoweave.operators import spine_generation as sg
+
+    s = materialize(t.spine.select("is_real", "customer_id", "product_id", F.date_format("ts", "yyyy-MM").alias("gate")))
+    out = am.affinity_diagnostics(s, sg.affinity_vectors(s.where("is_real")))
+    return out.select("metric", (F.col("value").isNotNull() & ~F.isnan("value")).alias("finite"))

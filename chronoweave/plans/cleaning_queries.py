@@ -91,7 +91,7 @@ def binary_flag_variants(t: Tables):
         cl.flag_or_null("raw_flag").alias("variant_e"), "n")
 
 
-@query("B1 B2", f"""{RAW} SELECT customer_id, count(*) AS n, {r('sum(x)', 4)} AS total, max(d) AS latest FROM (
+@query("B1 B2 L2", f"""{RAW} SELECT customer_id, count(*) AS n, {r('sum(x)', 4)} AS total, max(d) AS latest FROM (
 SELECT CAST(customer_id AS VARCHAR) AS customer_id, TRY_CAST(trim(raw_number) AS DOUBLE) AS x, CAST(TRY_CAST(raw_time AS TIMESTAMP) AS DATE) AS d FROM raw)
 WHERE x IS NOT NULL AND d IS NOT NULL GROUP BY customer_id""")
 def normalized_frame(t: Tables):

@@ -45,7 +45,7 @@ def column_shape_errors(t: Tables):
     return out.select("column", r6(F.col("shape_error")).alias("shape_error"), r6(F.col("secondary")).alias("secondary"), "kind", "shape_group")
 
 
-@query("I7 I54", f"""WITH {SPINE}, {SHAPE} {sp.rows_sql('shp', {'macro_shape_error': r('avg(shape_error)', 5), 'macro_attribute_shape_error': r("avg(shape_error) FILTER (WHERE shape_group <> 'structural')", 5),
+@query("I7 I54 L3", f"""WITH {SPINE}, {SHAPE} {sp.rows_sql('shp', {'macro_shape_error': r('avg(shape_error)', 5), 'macro_attribute_shape_error': r("avg(shape_error) FILTER (WHERE shape_group <> 'structural')", 5),
 'macro_text_shape_error': r("avg(shape_error) FILTER (WHERE shape_group = 'text')", 5), 'macro_structural_shape_error': r("avg(shape_error) FILTER (WHERE shape_group = 'structural')", 5)})}""")
 def macro_shape_summary(t: Tables):
     e = tm.shape_errors(t.spine, SPECS, "event_id").withColumn("shape_error", r6(F.col("shape_error")))
