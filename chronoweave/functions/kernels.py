@@ -3,7 +3,8 @@
 A window over a hot key (or over no key at all) runs in a single task. The kernels here sort the
 whole table by (group, order) with a range shuffle instead, number the rows inside each range
 partition, and carry small per-partition edges (at most one row per group and partition) across the
-partition borders. A group of any size is spread over as many tasks as its rows need.
+partition borders. A group of any size is spread over as many tasks as its rows need. Where the
+largest group is small (it is counted first), the plain window is the cheaper plan and is used.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.hashing import as_col
 
+HOT_GROUP_ROWS = 500_000  # groups above this are split over tasks
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition id above this bit
 
 
@@ -37,9 +39,13 @@ def workspace(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write once and read back: cuts lineage, fixes partition ids, survives lost executors."""
+    if getattr(df, "_chronoweave_written", False):
+        return df
     path = os.path.join(workspace(df.sparkSession), uuid.uuid4().hex)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._chronoweave_written = True
+    return out
 
 
 def drop_workspace(spark: SparkSession) -> None:
@@ -57,6 +63,7 @@ def ordered(
     through: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
+    hot: int | None = None,
 ) -> DataFrame:
     """Window results over (partition by `by` order by `order`) with large groups split over tasks.
 
@@ -65,10 +72,17 @@ def ordered(
     through    running sums up to and including this row
     previous   value of the row before (null on the first row); `following` is the row after
     The columns of `by` must not be null. `order` should end in a tie-break.
+
+    The input is written once, so its plan runs once however many passes follow.
     """
     by = list(by)
     before, through = dict(before or {}), dict(through or {})
     previous, following = dict(previous or {}), dict(following or {})
+    if by:
+        df = materialize(df)
+        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+        if largest <= (HOT_GROUP_ROWS if hot is None else hot):
+            return _windowed(df, by, order, rank, before, through, previous, following)
     keys = [F.col(c) for c in by] + [as_col(c) for c in order]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()))
@@ -110,6 +124,22 @@ def ordered(
     return joined.withColumns(out).select(*[c for c in df.columns if c not in out], *out)
 
 
+def _windowed(df, by, order, rank, before, through, previous, following) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    out: dict[str, Column] = {}
+    if rank:
+        out[rank] = F.row_number().over(w).cast("long")
+    for name, e in before.items():
+        out[name] = F.coalesce(F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    for name, e in through.items():
+        out[name] = F.coalesce(F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    for name, e in previous.items():
+        out[name] = F.lag(e).over(w)
+    for name, e in following.items():
+        out[name] = F.lead(e).over(w)
+    return df.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """Global row number from 1."""
     return ordered(df, [], order, rank=name)

@@ -178,21 +178,20 @@ def desired_days(stubs: DataFrame, key: str, entity: str, day: str, mode: str, s
         return near.withColumn("wanted", F.least(F.greatest(d + F.bround(noise).cast("int"), F.lit(lo)), F.lit(hi))).drop("bandwidth")
     own = ordered(stubs.select(entity, key, day), [entity], [day, key], rank="_i")
     size = own.groupBy(entity).agg(F.count(F.lit(1)).alias("_deg"))
-    rows = stubs.join(size, entity)
+    rows = stubs.select(key, entity, block).join(size, entity)
     use_own = hashed_unit(f"{seed}m", key) < F.col("_deg") / (F.col("_deg") + alpha)
     mine = rows.where(use_own).withColumn("_i", F.floor(hashed_unit(f"{seed}o", key) * F.col("_deg")) + 1).join(
-        own.select(entity, "_i", F.unix_date(day).alias("wanted")), [entity, "_i"]).select(key, "wanted")
-    asked = rows.where(~use_own).select(block, key, hashed_unit(f"{seed}b", key).alias("_u"))
-    theirs = pick_by_weight(asked, "_u", model.select(block, F.col(day).alias("_d"), "p"), "p", ["_d"], [block], ["_d"]).select(key, F.unix_date("_d").alias("wanted"))
-    return stubs.join(mine.unionByName(theirs), key)
+        own.select(entity, "_i", F.unix_date(day).alias("wanted")), [entity, "_i"]).select(key, entity, block, "wanted")
+    asked = rows.where(~use_own).select(block, key, entity, hashed_unit(f"{seed}b", key).alias("_u"))
+    theirs = pick_by_weight(asked, "_u", model.select(block, F.col(day).alias("_d"), "p"), "p", ["_d"], [block], ["_d"])
+    return mine.unionByName(theirs.select(key, entity, block, F.unix_date("_d").alias("wanted")))
 
 
 def assign_stubs(slot_rows: DataFrame, stubs: DataFrame, block: str, key: str, entity: str, day: str = "day", seed: int = 42) -> DataFrame:
     """Slots with an entity: per block, stubs by wanted day meet slots by day, rank by rank, so degrees stay exact."""
-    left = slot_rows.select(block, "slot", day)
     right = stubs.select(block, entity, "wanted", F.col(key).alias("_stub"))
-    out = match_by_rank(left, right, [block], [day, hashed_long(f"{seed}s", "slot"), "slot"], ["wanted", hashed_long(f"{seed}t", "_stub"), "_stub"])
-    return out.select("slot", entity)
+    out = match_by_rank(slot_rows, right, [block], [day, hashed_long(f"{seed}s", "slot"), "slot"], ["wanted", hashed_long(f"{seed}t", "_stub"), "_stub"])
+    return out.select(*slot_rows.columns, entity)
 
 
 def pair_by_projection(assigned: DataFrame, customer_score: Column, product_score: Column, seed: int = 42) -> DataFrame:
@@ -311,8 +310,7 @@ def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_b
     from chronoweave.operators import priors as pr
 
     base = materialize(ct.with_blocks(events.select(key, "customer_id", "product_id", "day"), customer_blocks, product_blocks))
-    slot_rows = materialize(slots(ct.cell_counts(base)))
-    placed = slot_rows
+    placed = slots(ct.cell_counts(base))
     for entity, block, tag in (("customer_id", "customer_block", "c"), ("product_id", "product_block", "p")):
         model = bandwidths = None
         if mode == "mixture":
@@ -320,8 +318,7 @@ def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_b
         elif mode == "local_kernel":
             bandwidths = pr.gap_bandwidths(base, entity, "day", [key], base.select(entity, block).distinct(), block)
         stubs = desired_days(base.select(key, entity, block, "day"), key, entity, "day", mode, f"{seed}{tag}", model, block, bandwidths)
-        placed = placed.join(assign_stubs(slot_rows, stubs, block, key, entity, seed=f"{seed}{tag}"), "slot")
-    placed = materialize(placed)
+        placed = materialize(assign_stubs(placed, stubs, block, key, entity, seed=f"{seed}{tag}"))
     if pairing == "greedy" and vectors is not None:
         paired = pair_greedily(placed, *vectors, real_pairs=None)
     elif pairing == "projection" and vectors is not None:
@@ -330,7 +327,7 @@ def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_b
             pv.select("product_id", F.element_at("vector", 1).alias("_pv")), "product_id", "left")
         paired = pair_by_projection(scored, F.coalesce("_cs", F.lit(0.0)), F.coalesce("_pv", F.lit(0.0)), seed)
     else:
-        paired = pair_by_projection(placed, F.lit(0.0), F.lit(0.0), seed)
+        paired = placed  # hash order inside a cell is already a random pairing
     if repair:
         paired = swap_away_overlaps(paired, base, ["customer_block", "product_block", "day"], ["day"], seed=seed)
     return materialize(paired.select("slot", "customer_id", "product_id", "day", "customer_block", "product_block"))
@@ -342,7 +339,7 @@ def exact_constraints(real: DataFrame, synthetic: DataFrame) -> DataFrame:
         synthetic.select("customer_id", "product_id", "day", "customer_block", "product_block", F.lit(False).alias("is_real")))
     rules = {"row_count": [], "customer_degrees": ["customer_id", "customer_block"], "product_degrees": ["product_id", "product_block"], "daily_counts": ["day"],
              "block_pair_counts": ["customer_block", "product_block"], "cell_counts": ["customer_block", "product_block", "day"]}
-    out = None
+    both, out = materialize(both), None
     for name, keys in rules.items():
         c = aligned_counts(both, keys).agg(F.bool_and(F.col("real_n") == F.col("synthetic_n")).alias("holds")).select(F.lit(name).alias("constraint"), "holds")
         out = c if out is None else out.unionByName(c)
@@ -350,10 +347,12 @@ def exact_constraints(real: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def require_exact(report: DataFrame) -> DataFrame:
-    broken = [r[0] for r in report.where(~F.col("holds")).select("constraint").collect()]
+    """The report as a finished table; a broken constraint raises."""
+    lines = report.collect()  # one line per constraint
+    broken = [r["constraint"] for r in lines if not r["holds"]]
     if broken:
         raise ValueError(f"exact constraints broken: {broken}")
-    return report
+    return report.sparkSession.createDataFrame(lines, report.schema)
 
 
 # --- other generators ---------------------------------------------------------------------------

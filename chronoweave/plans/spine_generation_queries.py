@@ -66,7 +66,7 @@ b AS (SELECT customer_id, customer_block, row_number() OVER (PARTITION BY custom
 def stub_to_slot_assignment(t: Tables):
     b = blocked(t)
     stubs = sg.desired_days(b.select("event_id", "customer_id", "customer_block", "day"), "event_id", "customer_id", "day", "exact", 42)
-    return sg.assign_stubs(sg.slots(ct.cell_counts(b)), stubs, "customer_block", "event_id", "customer_id")
+    return sg.assign_stubs(sg.slots(ct.cell_counts(b)), stubs, "customer_block", "event_id", "customer_id").select("slot", "customer_id")
 
 
 @query("J18 J19 J11 J12 J13 J14", ALL_TRUE)
