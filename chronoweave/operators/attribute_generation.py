@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import text as tx
 from chronoweave.functions.cleaning import array_sum, log_clip, softmax
-from chronoweave.functions.hashing import hashed_long, hashed_normal, hashed_unit
+from chronoweave.functions.hashing import hashed_normal, hashed_unit
 from chronoweave.functions.kernels import materialize, numbered, ordered
 from chronoweave.operators.histories import strict_prior
 

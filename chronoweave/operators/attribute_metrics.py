@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.kernels import aligned_counts, guarded_corr, ordered, quantiles, rate
+from chronoweave.functions.kernels import aligned_counts, guarded_corr, quantiles, rate
 from chronoweave.operators import two_sample as ts
 from chronoweave.operators.two_sample import metric_rows, stack_reports
 

@@ -10,8 +10,7 @@ from chronoweave.functions.kernels import materialize, r6
 from chronoweave.operators import attribute_generation as ag
 from chronoweave.operators import priors as pr
 from chronoweave.plans.registry import query
-from chronoweave.plans.spine_queries import rounded_columns
-from chronoweave.plans.tables import ACTIONS, SPINE, TEXTS, Tables, r, unit_sql
+from chronoweave.plans.tables import SPINE, TEXTS, Tables, r, unit_sql
 from chronoweave.plans.text_queries import squeeze_sql, words_sql
 
 CLASSES = ["1", "2", "3", "4", "5", "6", "7"]

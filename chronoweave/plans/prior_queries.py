@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.functions.kernels import r6
-from chronoweave.operators import counts as ct
 from chronoweave.operators import priors as pr
 from chronoweave.operators import supports as su
 from chronoweave.plans import sql_parts as sp

@@ -10,7 +10,7 @@ from chronoweave.operators import nearest as nn
 from chronoweave.operators import relational as rl
 from chronoweave.plans.registry import query
 from chronoweave.plans.spine_queries import rounded, rounded_columns
-from chronoweave.plans.tables import Tables, SIDE_SEED, hash_sql, r, unit_sql
+from chronoweave.plans.tables import Tables, SIDE_SEED, hash_sql, r
 from chronoweave.functions.hashing import hashed_long
 
 

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from chronoweave.functions.kernels import r6, workspace
-from chronoweave.operators import counts as ct
 from chronoweave.plans.registry import query
 from chronoweave.plans.spine_queries import rounded
 from chronoweave.plans.tables import BLOCK_MAPS, SPINE, Tables, r
