@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronoweave.llm.common import query, table, whole_text
+from chronoweave.llm.common import bounded_batches, query, table, whole_text, without
 
-CACHED_PIECES = 600_000  # distinct pre-tokens a worker remembers; the memory is emptied when full, results are the same
+CACHED_PIECES = 800_000  # distinct pre-tokens a worker remembers; the memory is emptied when full, results are the same
 LONG_PIECE = 256  # longer ones are not remembered
 PIECES_AT_ONCE = 2_000  # pre-tokens that share the queue
 CHARS_AT_ONCE = 1_000_000  # texts are taken together up to this size (a longer text alone)
@@ -79,33 +79,30 @@ class Codec:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left * self.size + right] = rank
+        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
+        self.first = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(self.size)  # empty again after each merge()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as packed integers
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each pre-token. They share one queue: pairs never reach across a border between two of them."""
         size, pair, queue = self.size, self.pairs.get, self.queue
         buckets, rank_open = queue.buckets, queue.open
-        single = [self.ranks[bytes([b])] if bytes([b]) in self.ranks else -1 for b in range(256)]
-        token = [single[b] for piece in pieces for b in piece]
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        starts, at = [], 0
-        for piece in pieces:
-            starts.append(at)
-            before[at] = -1
-            at += len(piece)
-            after[at - 1] = -1
-        rank_at = [-1] * n
-        for i in range(n):
-            j = after[i]
-            if j >= 0 and (r := pair(token[i] * size + token[j], -1)) >= 0:
-                rank_at[i] = r
-                if (bucket := buckets.get(r)) is None:
-                    rank_open(r, [i])
-                else:
-                    bucket.append(i)
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        n, ends = len(flat), np.cumsum([len(p) for p in pieces])
+        starts = [0, *ends[:-1].tolist()]
+        ranks_now = np.full(n, -1)
+        ranks_now[:-1] = self.first[flat[:-1].astype(np.int64) * 256 + flat[1:]]
+        ranks_now[ends - 1] = -1
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        before[starts], after[ends - 1] = -1, -1
+        token, before, after, rank_at = self.single[flat].tolist(), before.tolist(), after.tolist(), ranks_now.tolist()
+        used = np.flatnonzero(ranks_now >= 0)
+        used = used[np.argsort(ranks_now[used], kind="stable")]
+        borders = np.flatnonzero(np.diff(ranks_now[used])) + 1
+        for group in np.split(used, borders) if len(used) else ():
+            rank_open(rank_at[group[0]], group.tolist())
         while (top := queue.take()) is not None:
             rank, bucket = top
             if len(bucket) > 1:
@@ -144,6 +141,9 @@ class Codec:
             out.append(ids)
         return out
 
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=np.int32).tobytes()
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text. Pre-tokens not seen before are merged together."""
         split, known, ranks = self.split, self.known, self.ranks
@@ -153,12 +153,12 @@ class Codec:
             known.clear()
             fresh = {p for ps in pieces for p in ps}
         raw = {p: p.encode("utf-8") for p in fresh}
-        known.update((p, [ranks[b]]) for p, b in raw.items() if b in ranks)
+        known.update((p, self.packed([ranks[b]])) for p, b in raw.items() if b in ranks)
         rest = [(p, b) for p, b in raw.items() if b not in ranks]
         for i in range(0, len(rest), PIECES_AT_ONCE):
             some = rest[i : i + PIECES_AT_ONCE]
-            known.update(zip([p for p, _ in some], self.merge([b for _, b in some])))
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), dtype=np.int32) for ps in pieces]
+            known.update((p, self.packed(ids)) for (p, _), ids in zip(some, self.merge([b for _, b in some])))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ps)), dtype=np.int32) for ps in pieces]
         for p in fresh:
             if len(p) > LONG_PIECE:
                 del known[p]
@@ -198,6 +198,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
     `vocabulary` is a rank file read on the driver (size checked) and sent to the executors once. Special tokens are
     plain text. A column named `into` is replaced. Each row stands alone: repeated rows and ties need no rule.
     """
+    bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf("array<int>")
@@ -210,6 +211,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """`df` with `into`: the bytes of the ids (null ids give null; an id outside the vocabulary fails the job)."""
+    bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf("binary")
@@ -220,13 +222,28 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(into, back.asNondeterministic()(F.col(ids)))
 
 
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass over the rows: `ids` and, decoded from them, `into`."""
+    bounded_batches(df.sparkSession)
+    data = _shared(df.sparkSession, vocabulary)
+
+    @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))
+    def both(texts: pd.Series) -> pd.DataFrame:
+        c = codec(data.value, pattern)
+        encoded = c.encode(texts)
+        return pd.DataFrame({"ids": encoded, "bytes": [c.decode(a.tolist()) for a in encoded]})
+
+    got = without(df.withColumn("_got", both.asNondeterministic()(whole_text(text))), [ids, into])
+    return got.withColumns({ids: F.col("_got.ids"), into: F.col("_got.bytes")}).drop("_got")
+
+
 @query()
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs, path, pattern, "text", "ids").drop("text"), path, pattern, "ids", "bytes")
+    done = round_trip(docs, path, pattern, "text", "ids", "bytes")
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

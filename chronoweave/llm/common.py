@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded by rows and, where this Spark can, by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

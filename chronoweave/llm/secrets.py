@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import query, table, whole_text
+from chronoweave.llm.common import bounded_batches, query, table, whole_text
 
 KINDS = ("assign", "access", "hex", "lexed")
 SPANS = T.ArrayType(T.StructType([
@@ -153,6 +153,7 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secret_spans")
     A null text counts as empty and an empty one has no spans. Texts are read whole, one row at a time, in linear
     time; repeated rows give repeated results. A column already named `into` is replaced; other columns pass through.
     """
+    bounded_batches(df.sparkSession)
     return df.withColumn(into, _spans.asNondeterministic()(whole_text(text)))
 
 
