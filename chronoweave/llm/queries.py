@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from chronoweave.llm import byte_bpe, html_text, language, secrets, toxicity  # noqa: F401
+from chronoweave.llm import byte_bpe, decontaminate, html_text, jaccard_join, language, secrets, toxicity  # noqa: F401
 from chronoweave.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
