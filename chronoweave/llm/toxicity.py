@@ -169,18 +169,22 @@ def learned_lexicon(sample: DataFrame, text: str, label: str) -> dict[str, float
     return {r["word"]: r["weight"] for r in kept.orderBy(F.desc("_use"), "word").limit(LEXICON).collect()}
 
 
-def fit(labelled: DataFrame, row: str = "doc_id", text: str = "text", label: str = "label") -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str = "text", label: str = "label") -> Scorer | None:
     """Lexicon, trees and calibration from at most ROWS_PER_CLASS rows of each label 0 and 1 (the same rows every time).
 
-    Rows with another or no label are passed over, a null text counts as empty. None where a label has no rows.
-    A quarter of the sample, chosen by hash, is kept from the trees and calibrates them.
+    `labels` has `row` and `label`; rows with another or no label or without a document are passed over, a null text
+    counts as empty. None where a label has no rows. Rows are chosen on ids alone, and only the texts of the chosen
+    ones are fetched. A quarter of the sample, chosen by hash, is kept from the trees and calibrates them.
     """
-    usable = labelled.where(F.col(label).isin(0, 1)).select(F.col(row).alias("row"), whole_text(text).alias("text"), F.col(label).cast("int").alias("label"))
+    usable = labels.where(F.col(label).isin(0, 1)).select(F.col(row).alias("row"), F.col(label).cast("int").alias("label")).dropDuplicates(["row"])
+    usable = materialize(usable.join(docs.select(F.col(row).alias("row")), "row", "left_semi"))
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     if len(totals) < 2:
         return None
     pick = lambda v: usable.where(F.col("label") == v).orderBy(F.xxhash64(F.lit("toxicity"), "row"), "row").limit(ROWS_PER_CLASS)
-    sample = materialize(pick(0).unionByName(pick(1)))
+    chosen = materialize(pick(0).unionByName(pick(1)))
+    texts = docs.select(F.col(row).alias("row"), whole_text(text).alias("text"))
+    sample = materialize(texts.join(F.broadcast(chosen), "row"))  # at most 2 x ROWS_PER_CLASS ids
     learned = learned_lexicon(sample, "text", "label")
     rows = described(sample, learned, "text", "x").select("row", "label", "x", (F.pmod(F.xxhash64(F.lit("calibration"), "row"), F.lit(4)) == 0).alias("aside")).orderBy("row").collect()
     x = np.array([r["x"] for r in rows])
@@ -230,6 +234,6 @@ def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     held = bucket_of_id("doc_id", 5) == 0
-    scorer = fit(docs.where(~held).join(labels.where(~held & F.col("label").isNotNull()), "doc_id"))
+    scorer = fit(docs, labels.where(~held))
     rows = score(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), scorer)
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
