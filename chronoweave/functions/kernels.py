@@ -54,6 +54,13 @@ def drop_workspace(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which null keys meet each other; the key columns are those of `left`."""
+    named = right.withColumnsRenamed({c: f"_join_{c}" for c in on})
+    match = [F.col(c).eqNullSafe(F.col(f"_join_{c}")) for c in on]
+    return left.join(named, match, how).drop(*[f"_join_{c}" for c in on])
+
+
 def ordered(
     df: DataFrame,
     by: Sequence[str],
@@ -71,7 +78,8 @@ def ordered(
     before     running sums of the rows strictly before this one (0 on the first row)
     through    running sums up to and including this row
     previous   value of the row before (null on the first row); `following` is the row after
-    The columns of `by` must not be null. `order` should end in a tie-break.
+    Null keys form a group like any other, on both plans. `order` should end in a tie-break. Running sums of
+    fractional values may differ between the plans in the last digit (sum decimals where that matters).
 
     The input is written once, so its plan runs once however many passes follow.
     """
@@ -106,7 +114,7 @@ def ordered(
     )
 
     inside = Window.partitionBy(*cell).orderBy("_at")
-    joined = placed.join(edges, cell)
+    joined = join_groups(placed, edges, cell)
     out: dict[str, Column] = {}
     if rank:
         out[rank] = F.col("_at") - F.col("_first") + 1 + F.col("_rows0")
@@ -164,7 +172,7 @@ def quantiles(
     run = ordered(counts, by, [value], before={"_below": F.col("_n")})
     if by:
         totals = run.groupBy(*by).agg(F.sum("_n").alias("_total"))
-        run = run.join(totals, by)
+        run = join_groups(run, totals, by)
         total = F.col("_total")
     else:
         total = F.lit(run.agg(F.sum("_n")).first()[0] or 0)

@@ -71,7 +71,7 @@ def regrow_stubs(counts: DataFrame, parent_key: str, key: str) -> DataFrame:
     return numbered(rows.select(parent_key, "place"), [parent_key, "place"], "_i").select((F.col("_i") - 1).alias(key), parent_key, "place")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node label over undirected edges `src`, `dst`.
 
     Large-star and small-star steps shrink every chain geometrically; each round is written out, so
@@ -80,7 +80,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.select(F.col("src").cast("string"), F.col("dst").cast("string")).where("src <> dst")
     nodes = edges.select(F.col("src").cast("string").alias("node")).union(edges.select(F.col("dst").cast("string"))).distinct()
     current = materialize(e.distinct())
-    for _ in range(max_rounds):
+    while True:  # every round lowers labels, so it ends
         both = current.union(current.select("dst", "src"))
         # large star: neighbors larger than u link to the smallest label around u
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))

@@ -19,7 +19,7 @@ from chronoweave.functions.kernels import aligned_counts, materialize, numbered,
 from chronoweave.operators import counts as ct
 
 CHUNK = 10_000
-PAIRING_LIMIT = 2_000
+PAIRING_RUN = 500
 EPOCH = "1970-01-01"
 
 
@@ -83,13 +83,13 @@ def kde_times(draws: DataFrame, key: str, by: Sequence[str], events: DataFrame,
 
 
 def endpoints_near(draws: DataFrame, key: str, by: Sequence[str], time: str, events: DataFrame, x: str, entity: str, bandwidths: DataFrame, seed: int = 42,
-                   tries: int = 12, rounds: int = 3) -> DataFrame:
+                   tries: int = 12) -> DataFrame:
     """(key, entity): an event of the group with Gaussian weight around the drawn time, within three bandwidths.
 
     Rejection sampling by position replaces weighting every nearby event: a draw learns which run of the
-    ordered events is in reach, proposes positions in it, and keeps the first accepted one. Work per draw
-    is a fixed number of proposals, not the size of its neighborhood. Draws with nothing accepted after
-    the rounds (or nothing in reach) take the event closest in order.
+    ordered events is in reach, proposes positions in it, and keeps the first accepted one. Draws that
+    accepted nothing propose again, four times as often each round, until all have one; an event in reach is
+    accepted with at least exp(-4.5), so a few rounds do. Draws with nothing in reach take the event closest in order.
     """
     by = list(by)
     ev = materialize(ordered(events.select(*by, x, entity), by, [x, entity], rank="_i"))
@@ -105,17 +105,18 @@ def endpoints_near(draws: DataFrame, key: str, by: Sequence[str], time: str, eve
     bounds = run.where(F.col("_e") != "").groupBy(*by, key).agg(
         *[F.max(F.when(F.col("_e") == e, F.col("_c"))).alias(f"_{e}") for e in ("lo", "hi", "at")])
     left = materialize(d.join(bounds, [*by, key]))
-    found = None
-    for r in range(rounds):
-        width = F.col("_hi") - F.col("_lo")
-        tried = left.where(width > 0).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    width = F.col("_hi") - F.col("_lo")
+    unreached = left.where(width <= 0)
+    found, r, left = None, 0, left.where(width > 0)
+    while found is None or not left.isEmpty():
+        tried = left.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tries * 4**r - 1))))
         tried = tried.withColumn("_i", F.col("_lo") + 1 + F.floor(hashed_unit(f"{seed}e{r}", key, "_t") * width)).join(ev, [*by, "_i"])
         z = (F.col(x) - F.col(time)) / F.col("bandwidth")
         ok = tried.where(hashed_unit(f"{seed}a{r}", key, "_t") < F.exp(-z * z / 2)).groupBy(key).agg(F.min_by(entity, "_t").alias(entity))
         ok = materialize(ok)
         found = ok if found is None else found.unionByName(ok)
-        left = left.join(ok.select(key), key, "left_anti")
-    nearest = left.withColumn("_i", F.least(F.greatest("_at", F.lit(1)), F.col("n"))).join(ev, [*by, "_i"]).select(key, entity)
+        left, r = materialize(left.join(ok.select(key), key, "left_anti")), r + 1
+    nearest = unreached.withColumn("_i", F.least(F.greatest("_at", F.lit(1)), F.col("n"))).join(ev, [*by, "_i"]).select(key, entity)
     return found.unionByName(nearest)
 
 
@@ -203,28 +204,32 @@ def pair_by_projection(assigned: DataFrame, customer_score: Column, product_scor
     return out.select(*cell, "slot", "customer_id", "product_id")
 
 
-def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vectors: DataFrame, real_pairs: DataFrame | None, limit: int = PAIRING_LIMIT,
+def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vectors: DataFrame, real_pairs: DataFrame | None, run: int = PAIRING_RUN,
                   duplicate_penalty: float = 1.0, real_penalty: float = 0.0) -> DataFrame:
-    """Highest affinity first inside each cell; cells above `limit` use the projection rule.
+    """Customers and products of a cell meet in projection order; inside consecutive runs of `run` rows, highest affinity goes first.
 
-    Scores are vector products minus penalties for a repeated pair in the cell and for a real pair.
-    Only cells small enough for one task reach the Arrow kernel.
+    One rule for cells of any size: a small cell is one short run. Scores are vector products minus penalties for a
+    repeated pair in the run and for a real pair. A task never holds more than `run` rows of a cell.
     """
     cell = ["customer_block", "product_block", "day"]
-    size = assigned.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    marked = materialize(assigned.join(size, cell))
     cv, pv = customer_vectors.select("customer_id", F.col("vector").alias("u")), product_vectors.select("product_id", F.col("vector").alias("v"))
-    large = marked.where(F.col("_n") > limit).join(cv, "customer_id", "left").join(pv, "product_id", "left")
-    projected = pair_by_projection(large, F.coalesce(F.element_at("u", 1), F.lit(0.0)), F.coalesce(F.element_at("v", 1), F.lit(0.0)))
-    small = marked.where(F.col("_n") <= limit)
-    single = small.where(F.col("_n") == 1).select(*cell, "slot", "customer_id", "product_id")
-    many = small.where(F.col("_n") > 1).join(cv, "customer_id", "left").join(pv, "product_id", "left")
+    first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(0.0))
+    left = assigned.select(*cell, "slot", "customer_id").join(cv, "customer_id", "left")
+    right = assigned.select(*cell, F.col("slot").alias("_ps"), "product_id").join(pv, "product_id", "left")
+    left = ordered(left, cell, [first("u"), hashed_long("42c", "slot"), "slot"], rank="_r")
+    right = ordered(right, cell, [first("v"), hashed_long("42q", "_ps"), "_ps"], rank="_r").drop("_ps")
+    marked = materialize(left.join(right, [*cell, "_r"]).withColumn("_run", F.floor((F.col("_r") - 1) / run)).drop("_r"))
+    alone = marked.groupBy(*cell, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    marked = marked.join(alone, [*cell, "_run"])
+    single = marked.where(F.col("_n") == 1).select(*cell, "slot", "customer_id", "product_id")
+    many = marked.where(F.col("_n") > 1)
     if real_pairs is not None:
-        # real partners of the customers of a cell that are present in the cell
-        known = real_pairs.select("customer_id", "product_id").distinct().join(many.select(*cell, "customer_id").distinct(), "customer_id")
-        known = known.join(many.select(*cell, "product_id").distinct(), [*cell, "product_id"], "left_semi")
-        known = known.groupBy(*cell, "customer_id").agg(F.collect_set("product_id").alias("known"))
-        many = many.join(known, [*cell, "customer_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
+        # real partners of the customers of a run that are present in the run
+        place = [*cell, "_run"]
+        known = real_pairs.select("customer_id", "product_id").distinct().join(many.select(*place, "customer_id").distinct(), "customer_id")
+        known = known.join(many.select(*place, "product_id").distinct(), [*place, "product_id"], "left_semi")
+        known = known.groupBy(*place, "customer_id").agg(F.collect_set("product_id").alias("known"))
+        many = many.join(known, [*place, "customer_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
     else:
         many = many.withColumn("known", F.array().cast("array<long>"))
     schema = "customer_block int, product_block int, day date, slot string, customer_id long, product_id long"
@@ -253,16 +258,37 @@ def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vect
             mine[products[j]] = mine.get(products[j], 0) + 1
         return pdf.assign(product_id=products[choice])[["customer_block", "product_block", "day", "slot", "customer_id", "product_id"]]
 
-    paired = many.select(*cell, "slot", "customer_id", "product_id", "u", "v", "known").groupBy(*cell).applyInPandas(greedy, schema)
-    return projected.unionByName(single).unionByName(paired)
+    paired = many.select(*cell, "_run", "slot", "customer_id", "product_id", "u", "v", "known").groupBy(*cell, "_run").applyInPandas(greedy, schema)
+    return single.unionByName(paired)
 
 
 def swap_away_overlaps(paired: DataFrame, real_events: DataFrame, by: Sequence[str], keys: Sequence[str], window: int = 500, seed: int = 42) -> DataFrame:
     """Swap products inside a group so that fewer synthetic rows repeat a real event (or a real edge).
 
     `keys` say what counts as a repeat besides customer and product (the day, or nothing). Large groups
-    are cut into windows, so a task never holds more than `window` rows; a swap keeps all exact counts.
+    are cut into windows, so a task never holds more than `window` rows; a swap keeps all exact counts. Rows that
+    still repeat meet other rows in a new cut, until a cut removes none; `repeats` counts what then remains.
     """
+    out, left, r = paired, None, 0
+    while True:
+        out = materialize(_swapped_once(out, real_events, by, keys, window, f"{seed}r{r}" if r else seed))
+        before, left, r = left, repeats(out, real_events, keys), r + 1
+        # a group of one window has been searched whole
+        if not left or (before is not None and left >= before) or (r == 1 and not _has_large_group(out, by, window)):
+            return out
+
+
+def repeats(paired: DataFrame, real_events: DataFrame, keys: Sequence[str]) -> int:
+    """Synthetic rows that repeat a real event (or a real edge, without keys)."""
+    same = ["customer_id", "product_id", *keys]
+    return paired.join(real_events.select(*same).distinct(), same, "left_semi").count()
+
+
+def _has_large_group(df: DataFrame, by: Sequence[str], rows: int) -> bool:
+    return not df.groupBy(*by).count().where(F.col("count") > rows).isEmpty()
+
+
+def _swapped_once(paired: DataFrame, real_events: DataFrame, by: Sequence[str], keys: Sequence[str], window: int, seed) -> DataFrame:
     by, keys = list(by), list(keys)
     real = real_events.select("customer_id", "product_id", *keys).distinct().withColumn("_hit", F.lit(True))
     ranked = ordered(paired, by, [hashed_long(f"{seed}w", "slot"), "slot"], rank="_r").withColumn("_w", F.floor((F.col("_r") - 1) / window))
@@ -274,9 +300,8 @@ def swap_away_overlaps(paired: DataFrame, real_events: DataFrame, by: Sequence[s
     broken = marked.where(F.col("_any") & (F.col("_n") > 1))
     # real partners of the customers of a broken window, limited to products present in that window
     outer = [k for k in keys if k not in group]
-    here = broken.select(*group, "product_id").distinct()
     known = real.drop("_hit").join(broken.select(*group, *outer, "customer_id").distinct(), ["customer_id", *keys])
-    known = known.join(here, [*group, "product_id"], "left_semi").groupBy(*group, "customer_id").agg(F.collect_set("product_id").alias("known"))
+    known = known.join(broken.select(*group, "product_id").distinct(), [*group, "product_id"], "left_semi").groupBy(*group, "customer_id").agg(F.collect_set("product_id").alias("known"))
     rows = broken.join(known, [*group, "customer_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
 
     columns = paired.columns
@@ -488,18 +513,21 @@ def cluster_blocks(vectors: DataFrame, entity: str, k: int, block: str, seed: in
     return KMeans(k=k, seed=seed, maxIter=10).fit(data).transform(data).select(entity, F.col("prediction").alias(block))
 
 
-def rewire(edges: DataFrame, key: str, src: str, dst: str, by: Sequence[str], seed: int = 42, rounds: int = 8) -> DataFrame:
+def rewire(edges: DataFrame, key: str, src: str, dst: str, by: Sequence[str], seed: int = 42, patience: int = 10) -> DataFrame:
     """Targets permuted among edges of the same class (block pair and in-degree class), without new parallel edges.
 
     Every source keeps its degree, every target too, and so do block and joint degree matrices. Edges that
-    end up parallel are permuted again together with random partners, round by round; what is left falls back to an error.
+    end up parallel are permuted again together with random partners, round by round, until none is left. It raises only
+    when their number has not fallen for `patience` rounds.
     """
     indeg = edges.groupBy(dst).agg(F.count(F.lit(1)).alias("_in"))
     allowed = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
     cls = [*by, "_in"]
     base = edges.select(key, src, dst, *by).join(indeg, dst)
     current = materialize(base.withColumn("_on", F.lit(True)))
-    for r in range(rounds):
+    best, since, r = None, 0, -1
+    while True:
+        r += 1
         act = current.where("_on")
         a = ordered(act.drop(dst), cls, [hashed_long(f"{seed}l{r}", key), key], rank="_r")
         b = ordered(act.select(*cls, dst, F.col(key).alias("_k")), cls, [hashed_long(f"{seed}m{r}", "_k"), "_k"], rank="_r")
@@ -510,7 +538,9 @@ def rewire(edges: DataFrame, key: str, src: str, dst: str, by: Sequence[str], se
         n = dup.where("_dup").count()
         if n == 0:
             return dup.select(key, src, dst, *by)
+        best, since = (n, 0) if best is None or n < best else (best, since + 1)
+        if since >= patience:
+            raise ValueError(f"{n} parallel edges left, no fewer than {best} for {patience} rounds")
         share = dup.groupBy(*cls).agg(F.count_if("_dup").alias("_d"), F.count(F.lit(1)).alias("_n")).where("_d > 0")
         near = F.coalesce(hashed_unit(f"{seed}j{r}", key) < 4 * F.col("_d") / F.col("_n"), F.lit(False))
         current = materialize(dup.join(share, cls, "left").withColumn("_on", F.col("_dup") | near).select(key, src, dst, *cls, "_on"))
-    raise ValueError(f"{n} parallel edges left after {rounds} rounds")

@@ -84,7 +84,7 @@ def induced_subset(events: DataFrame, customers: DataFrame, products: DataFrame,
     return customers.join(chosen, customer, "left_semi"), kept, products.join(kept.select(product), product, "left_semi")
 
 
-def select_sources(counts: DataFrame, key: str, target: int, seed: int = 42, max_rounds: int = 1000) -> DataFrame:
+def select_sources(counts: DataFrame, key: str, target: int, seed: int = 42) -> DataFrame:
     """Sources whose event counts add up to about `target`; complete histories only.
 
     Hash order and a prefix sum replace the sequential walk: a source joins while the distance to the
@@ -99,7 +99,7 @@ def select_sources(counts: DataFrame, key: str, target: int, seed: int = 42, max
     picked = run.withColumn("chosen", chosen)
     total = picked.agg(F.sum(F.when(F.col("chosen"), F.col("n")))).first()[0] or 0
     flipped: dict = {}
-    for _ in range(max_rounds):
+    while True:  # every flip lowers the error, a whole number
         adding = total < target
         sign = 1 if adding else -1
         pool = picked.where(~F.col("chosen") if adding else F.col("chosen"))

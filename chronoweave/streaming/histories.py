@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.kernels import ordered, workspace
+from chronoweave.functions.kernels import join_groups, ordered, workspace
 
 
 def _place(spark: SparkSession, kind: str) -> str:
@@ -57,39 +57,55 @@ class RunningStatistics:
     Each batch is joined to the state of the batches before it and ordered inside by (entity, time), so an
     event sees strictly earlier times only: state plus earlier rows of its own batch. A busy entity is
     spread over tasks by the ordering kernel instead of being fed through one stateful key. Rows older
-    than the largest time seen minus the delay are dropped and counted. State and output are tables named
-    by the batch number; a batch that is run again overwrites its own.
+    than the largest time seen minus the delay are dropped and counted.
+
+    Output, state and the largest time are tables named by the batch number, under `path`. A batch reads
+    what the batch before it left and overwrites its own, so running it again (also after a restart with
+    the same path) gives the same result. A null entity is an entity like any other.
     """
 
-    def __init__(self, spark: SparkSession, entity: str, key: str, ts: str, sums: Mapping[str, Column], delay_micros: int = 86_400_000_000):
+    def __init__(self, spark: SparkSession, entity: str, key: str, ts: str, sums: Mapping[str, Column], delay_micros: int = 86_400_000_000, path: str | None = None):
         self.spark, self.entity, self.key, self.ts = spark, entity, key, ts
         self.sums, self.delay = dict(sums), delay_micros
-        self.path = _place(spark, "running")
-        self.dropped = 0
-        self.high: int | None = None
-        self.last: int | None = None
+        self.path = path or _place(spark, "running")
+
+    def _marks(self) -> dict[int, tuple[int | None, int]]:
+        """Largest time and dropped rows by batch, one small row each."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/mark")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return {}
+        return {r["epoch"]: (r["high"], r["dropped"]) for r in self.spark.read.schema("high long, dropped long, epoch int").parquet(f"{self.path}/mark").collect()}
+
+    @property
+    def dropped(self) -> int:
+        return sum(n for _, n in self._marks().values())
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         names = ["count", *self.sums]
-        rows = batch.withColumn("_t", F.unix_micros(self.ts))
-        if self.high is not None:
-            late = F.col("_t") < self.high - self.delay
-            self.dropped += rows.where(late).count()
+        earlier = {e: m for e, m in self._marks().items() if e < epoch}
+        last = max(earlier, default=None)
+        high = None if last is None else earlier[last][0]
+        rows, late_rows = batch.withColumn("_t", F.unix_micros(self.ts)), 0
+        if high is not None:
+            late = F.coalesce(F.col("_t") < high - self.delay, F.lit(False))
+            late_rows = rows.where(late).count()
             rows = rows.where(~late)
         at = rows.groupBy(self.entity, "_t").agg(F.count(F.lit(1)).alias("_count"), *[F.sum(e).alias(f"_{k}") for k, e in self.sums.items()])
         run = ordered(at, [self.entity], ["_t"], before={f"in_{n}": F.col(f"_{n}") for n in names})
-        state = None if self.last is None else self.spark.read.parquet(f"{self.path}/state/{self.last}")
-        seen = run if state is None else run.join(state, self.entity, "left")
+        state = None if last is None else self.spark.read.parquet(f"{self.path}/state/{last}")
+        seen = run if state is None else join_groups(run, state, [self.entity], "left")
         prior = {n: F.col(f"in_{n}") + (F.lit(0) if state is None else F.coalesce(f"state_{n}", F.lit(0))) for n in names}
-        out = rows.select(self.key, self.entity, "_t").join(seen.select(self.entity, "_t", *[c.alias(f"prior_{n}") for n, c in prior.items()]), [self.entity, "_t"])
+        before = seen.select(self.entity, "_t", *[c.alias(f"prior_{n}") for n, c in prior.items()])
+        out = join_groups(rows.select(self.key, self.entity, "_t"), before, [self.entity, "_t"])
         out.drop("_t").write.mode("overwrite").parquet(f"{self.path}/out/{epoch}")
         total = at.groupBy(self.entity).agg(*[F.sum(f"_{n}").alias(f"state_{n}") for n in names])
         if state is not None:
             total = total.unionByName(state).groupBy(self.entity).agg(*[F.sum(f"state_{n}").alias(f"state_{n}") for n in names])
         total.write.mode("overwrite").parquet(f"{self.path}/state/{epoch}")
         top = rows.agg(F.max("_t")).first()[0]
-        self.high = top if self.high is None else max(self.high, top or self.high)
-        self.last = epoch
+        high = max((x for x in (high, top) if x is not None), default=None)
+        mark = self.spark.createDataFrame([(high, late_rows)], "high long, dropped long")
+        mark.write.mode("overwrite").parquet(f"{self.path}/mark/epoch={epoch}")
 
     def results(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/out/*")

@@ -85,7 +85,7 @@ def test_rewiring_keeps_degrees(spark):
     rng = np.random.default_rng(2)
     pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 30, 200), rng.integers(0, 40, 200))})
     e = spark.createDataFrame([(f"e{i}", a, b, a % 2, b % 2) for i, (a, b) in enumerate(pairs)], "id string, s long, t long, sb long, tb long")
-    out = sg.rewire(e, "id", "s", "t", ["sb", "tb"], rounds=30).collect()
+    out = sg.rewire(e, "id", "s", "t", ["sb", "tb"], patience=30).collect()
     assert len({(r["s"], r["t"]) for r in out}) == len(pairs)
     for side in ("s", "t"):
         assert sorted(r[side] for r in out) == sorted(r[side] for r in e.collect())

@@ -100,3 +100,30 @@ def test_running_statistics_over_batches(spark):
     for i, u, ts, _ in rows:
         assert got[i] == sum(v for _, w, t, v in rows if w == u and t < ts)
     assert run.dropped == 1 and 99 in got
+
+
+def test_running_statistics_survive_a_rerun_and_a_restart(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 4 == 0 else i % 3, t0 + dt.timedelta(hours=i // 2), float(i)) for i in range(24)]
+    df = spark.createDataFrame(rows, "event_id int, user int, ts timestamp, value double")
+    part = lambda e: df.where(F.col("event_id").between(8 * e, 8 * e + 7))
+    run = sh.RunningStatistics(spark, "user", "event_id", "ts", {"value": F.col("value")})
+    run(part(0), 0)
+    run(part(1), 1)
+    run(part(1), 1)  # the batch again
+    again = sh.RunningStatistics(spark, "user", "event_id", "ts", {"value": F.col("value")}, path=run.path)
+    again(part(1), 1)  # and after a restart
+    again(part(2), 2)
+    got = {r["event_id"]: (r["prior_count"], r["prior_value"]) for r in again.results().collect()}
+    for i, u, ts, _ in rows:
+        past = [v for _, w, t, v in rows if w == u and t < ts]
+        assert got[i] == (len(past), sum(past))
+
+
+def test_histories_keep_events_without_an_entity(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, None, t0), (1, None, t0 + dt.timedelta(days=1)), (2, 7, t0), (3, 7, t0 + dt.timedelta(days=2))]
+    df = spark.createDataFrame(rows, "event_id int, user int, ts timestamp").withColumn("value", F.lit(2.0))
+    got = {r["event_id"]: r["n"] for r in hi.with_prior_count(df, "user", "ts", "n").collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert hi.history_features(df, "user", "ts", "value").count() == 4

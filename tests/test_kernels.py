@@ -36,6 +36,15 @@ def test_ordered_equals_pandas_on_both_plans(spark, rows, hot, partitions):
         assert np.array_equal(a[c].to_numpy(float), b[c].to_numpy(float), equal_nan=True), c
 
 
+@pytest.mark.parametrize("by", [["g"], ["g", "h"]])
+def test_both_plans_keep_rows_with_null_keys(spark, rows, by):
+    df = spark.createDataFrame(rows).withColumns({"g": F.when(F.col("g") != "hot", F.col("g")), "h": F.when(F.col("id") % 3 > 0, F.col("id") % 2)})
+    plans = [k.ordered(df, by, ["t", "id"], rank="rk", before={"b": F.col("v")}, previous={"p": F.col("id")}, hot=hot).orderBy("id").collect() for hot in (0, 10**9)]
+    assert plans[0] == plans[1] and len(plans[0]) == len(rows)
+    per = k.quantiles(df, "v", {"m": 0.5}, ["g"]).collect()
+    assert None in {r["g"] for r in per}
+
+
 def test_global_rank_and_quantiles(spark, rows):
     df = spark.createDataFrame(rows).repartition(7)
     out = k.numbered(df, ["t", "id"]).toPandas().set_index("id")["position"].sort_index()
