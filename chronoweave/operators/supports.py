@@ -298,6 +298,23 @@ def requantize(df: DataFrame, key: str, z: str, edges: DataFrame, value: str) ->
     return at.withColumn("k", F.greatest("k", F.lit(1))).join(steps.select("k", value), "k").select(key, value)
 
 
+def linear_normalizer(df: DataFrame, key: str, value: str, kind: str = "standard") -> DataFrame:
+    """(key, scaled, missing): standard scores or the place between minimum and maximum, fitted on the values there are.
+
+    A missing value becomes 0 (the mean, or the minimum) with its flag set; a column that does not vary is 0 throughout.
+    """
+    v = F.col(value).cast("double")
+    if kind == "standard":
+        centre, spread = df.agg(F.avg(v), F.stddev_pop(v)).first()
+    elif kind == "minmax":
+        lo, hi = df.agg(F.min(v), F.max(v)).first()
+        centre, spread = lo, None if lo is None else hi - lo
+    else:
+        raise ValueError(f"unknown normalizer: {kind}")
+    scaled = (v - centre) / spread if spread else F.lit(0.0)
+    return df.select(key, F.coalesce(scaled, F.lit(0.0)).alias("scaled"), v.isNull().alias("missing"))
+
+
 def quantile_normalizer(df: DataFrame, key: str, value: str, normal: bool = True) -> DataFrame:
     """(key, scaled): place on the empirical quantile grid (n/30 knots, 10..1000), as uniform or normal score."""
     n = df.where(F.col(value).isNotNull()).count()

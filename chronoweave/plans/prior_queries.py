@@ -303,6 +303,15 @@ def dequantized_quantities(t: Tables):
     return z.join(back, "event_id").select("event_id", "quantity", r6(F.col("u")).alias("u"), "back")
 
 
+@query("D27", f"""WITH {SPINE}, v AS (SELECT event_id, CASE WHEN product_id % 7 <> 0 THEN price END AS x FROM spine), f AS (SELECT avg(x) AS m, stddev_pop(x) AS d, min(x) AS lo, max(x) AS hi FROM v)
+SELECT event_id, {r('coalesce((x - m) / d, 0)')} AS standard, {r('coalesce((x - lo) / (hi - lo), 0)')} AS minmax, x IS NULL AS missing FROM v, f""")
+def linear_normalized_prices(t: Tables):
+    v = t.spine.select("event_id", F.when(F.col("product_id") % 7 != 0, F.col("price")).alias("x"))
+    a, b = su.linear_normalizer(v, "event_id", "x"), su.linear_normalizer(v, "event_id", "x", "minmax").drop("missing")
+    both = a.withColumnRenamed("scaled", "standard").join(b.withColumnRenamed("scaled", "minmax"), "event_id")
+    return both.select("event_id", r6(F.col("standard")).alias("standard"), r6(F.col("minmax")).alias("minmax"), "missing")
+
+
 @query("D27")
 def quantile_normalized_prices(t: Tables):
     return su.quantile_normalizer(t.spine, "event_id", "price")

@@ -133,12 +133,16 @@ def constraint_violations(t: Tables):
     return rounded(out)
 
 
-@query("B22", """SELECT * FROM (VALUES ('event_id', false, 'primary_key'), ('customer_id', false, 'foreign_key'), ('ts', false, 'timestamp'), ('note', false, 'text'),
+@query("B22", f"""WITH {SPINE}, c AS (SELECT count(*) AS n, count(CASE WHEN product_id % 3 = 0 THEN 1 END) AS k FROM spine)
+SELECT v."column", included, reason, CASE WHEN v."column" = 'note' THEN k ELSE n END AS filled FROM c, (VALUES ('event_id', false, 'primary_key'), ('customer_id', false, 'foreign_key'), ('ts', false, 'timestamp'), ('note', false, 'text'),
 ('quantity', true, 'generated_attribute'), ('fixed', false, 'not_generated'), ('token_length', false, 'length_like'), ('flag', true, 'generated_attribute')) v("column", included, reason)""")
 def classifier_feature_manifest(t: Tables):
+    """Which columns of the order lines a classifier may use, why, and how many values each has."""
     specs = {"event_id": tm.ColumnSpec("categorical"), "customer_id": SPECS["customer_id"], "ts": SPECS["ts"], "note": tm.ColumnSpec("text"), "quantity": SPECS["quantity"],
              "fixed": tm.ColumnSpec("categorical", generated=False), "token_length": tm.ColumnSpec("numerical"), "flag": SPECS["flag"]}
-    return tm.feature_manifest(t.spark, specs, ["event_id"])
+    rows = t.spine.select("event_id", "customer_id", "ts", "quantity", "flag", F.when(F.col("product_id") % 3 == 0, F.col("flag")).alias("note"), F.col("flag").alias("fixed"), F.length("flag").alias("token_length"))
+    filled = rows.agg(*[F.count(c).alias(c) for c in specs]).unpivot([], list(specs), "column", "filled")
+    return tm.feature_manifest(t.spark, specs, ["event_id"]).join(filled, "column")
 
 
 @query("I57", f"""WITH {SPINE}, s AS (SELECT * FROM synthetic), p AS (SELECT customer_id, product_id, count(*) AS n FROM s GROUP BY ALL)

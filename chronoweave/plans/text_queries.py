@@ -192,6 +192,15 @@ def json_property(t: Tables):
     return t.events.select("event_id", parsed["k"].alias("k"))
 
 
+@query("H17", """SELECT c_custkey, name, value FROM (SELECT c_custkey, unnest([{'name': 'place.nation', 'value': CAST(c_nationkey AS VARCHAR)}, {'name': 'place.market.segment', 'value': c_mktsegment},
+{'name': 'place.market.codes', 'value': '[' || c_nationkey || ',' || c_custkey || ']'}], recursive := true) FROM customer)""")
+def dotted_customer_records(t: Tables):
+    from chronoweave.sources.tables import dotted_records
+
+    market = F.struct(F.col("c_mktsegment").alias("segment"), F.array(F.col("c_nationkey").cast("long"), F.col("c_custkey").cast("long")).alias("codes"))
+    return dotted_records(t.customer.select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), market.alias("market")).alias("place")), "c_custkey")
+
+
 @query("B14", f"""WITH {TEXTS} SELECT doc_id, CAST(length(s) AS INTEGER) AS chars FROM (SELECT doc_id, {squeeze_sql("CASE WHEN doc_id % 3 = 0 THEN '  ' || chr(10) ELSE text END")} AS s FROM texts)
 WHERE length(s) > 0""")
 def non_empty_texts(t: Tables):

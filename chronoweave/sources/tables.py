@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,27 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c) for c in nested})
 
 
+def dotted_records(df: DataFrame, key: str, sep: str = ".") -> DataFrame:
+    """(key, name, value): every leaf of nested records with its dotted name, values as text; the schema decides.
+
+    Maps and arrays are leaves in JSON; an empty or missing record gives its leaves with null.
+    """
+    leaves: list[Column] = []
+
+    def walk(column: Column, name: str, kind: T.DataType) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind:
+                walk(column[f.name], f"{name}{sep}{f.name}" if name else f.name, f.dataType)
+        else:
+            text = F.to_json(column) if isinstance(kind, (T.ArrayType, T.MapType)) else column.cast("string")
+            leaves.append(F.struct(F.lit(name).alias("name"), text.alias("value")))
+
+    for f in df.schema:
+        if f.name != key:
+            walk(F.col(f"`{f.name}`"), f.name, f.dataType)
+    return df.select(key, F.inline(F.array(*leaves)))
+
+
 def with_file_row_number(df: DataFrame, out: str = "raw_row_number") -> DataFrame:
     """Row number from 0 in file order (file name, then place in the file), without gaps.
 
