@@ -204,17 +204,21 @@ def pair_by_projection(assigned: DataFrame, customer_score: Column, product_scor
     return out.select(*cell, "slot", "customer_id", "product_id")
 
 
-def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vectors: DataFrame, real_pairs: DataFrame | None, run: int = PAIRING_RUN,
-                  duplicate_penalty: float = 1.0, real_penalty: float = 0.0) -> DataFrame:
+def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vectors: DataFrame, real_pairs: DataFrame | None = None, run: int = PAIRING_RUN,
+                  duplicate_penalty: float = 1.0, real_penalty: float = 0.0, gates: DataFrame | None = None, real_events: DataFrame | None = None, event_penalty: float = 1.0) -> DataFrame:
     """Customers and products of a cell meet in projection order; inside consecutive runs of `run` rows, highest affinity goes first.
 
-    One rule for cells of any size: a small cell is one short run. Scores are vector products minus penalties for a
-    repeated pair in the run and for a real pair. A task never holds more than `run` rows of a cell.
+    One rule for cells of any size: a small cell is one short run. Scores are vector products, weighted per dimension by
+    the `gates` (month, weights) of the cell's month, minus penalties for a repeated pair in the run, for a real pair and
+    for a real event of that day. A task never holds more than `run` rows of a cell.
     """
     cell = ["customer_block", "product_block", "day"]
     cv, pv = customer_vectors.select("customer_id", F.col("vector").alias("u")), product_vectors.select("product_id", F.col("vector").alias("v"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(0.0))
     left = assigned.select(*cell, "slot", "customer_id").join(cv, "customer_id", "left")
+    if gates is not None:
+        left = left.withColumn("month", F.trunc("day", "month").cast("date")).join(gates, "month", "left")
+        left = left.withColumn("u", F.coalesce(F.zip_with("u", "weights", lambda a, b: a * b), "u")).drop("month", "weights")
     right = assigned.select(*cell, F.col("slot").alias("_ps"), "product_id").join(pv, "product_id", "left")
     left = ordered(left, cell, [first("u"), hashed_long("42c", "slot"), "slot"], rank="_r")
     right = ordered(right, cell, [first("v"), hashed_long("42q", "_ps"), "_ps"], rank="_r").drop("_ps")
@@ -232,6 +236,12 @@ def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vect
         many = many.join(known, [*place, "customer_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
     else:
         many = many.withColumn("known", F.array().cast("array<long>"))
+    if real_events is not None:
+        # a customer's real products of the cell's own day: as many as the customer bought that day
+        today = real_events.select("customer_id", "day", "product_id").groupBy("customer_id", "day").agg(F.collect_set("product_id").alias("today"))
+        many = many.join(today, ["customer_id", "day"], "left").withColumn("today", F.coalesce("today", F.array().cast("array<long>")))
+    else:
+        many = many.withColumn("today", F.array().cast("array<long>"))
     schema = "customer_block int, product_block int, day date, slot string, customer_id long, product_id long"
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +257,9 @@ def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vect
         products = pdf["product_id"].to_numpy()
         if real_penalty:
             score -= real_penalty * np.vstack([np.isin(products, k) for k in pdf["known"]])
+        for i, k in enumerate(pdf["today"]):
+            if len(k):
+                score[i] -= event_penalty * np.isin(products, k)
         taken, choice, used = np.zeros(n, bool), np.empty(n, int), {}
         for i in np.argsort(-score.max(axis=1), kind="stable"):
             row = np.where(taken, -np.inf, score[i])
@@ -258,7 +271,7 @@ def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vect
             mine[products[j]] = mine.get(products[j], 0) + 1
         return pdf.assign(product_id=products[choice])[["customer_block", "product_block", "day", "slot", "customer_id", "product_id"]]
 
-    paired = many.select(*cell, "_run", "slot", "customer_id", "product_id", "u", "v", "known").groupBy(*cell, "_run").applyInPandas(greedy, schema)
+    paired = many.select(*cell, "_run", "slot", "customer_id", "product_id", "u", "v", "known", "today").groupBy(*cell, "_run").applyInPandas(greedy, schema)
     return single.unionByName(paired)
 
 
@@ -326,11 +339,13 @@ def _swapped_once(paired: DataFrame, real_events: DataFrame, by: Sequence[str],
     return fine.unionByName(rows.groupBy(*group).applyInPandas(swap, paired.schema))
 
 
-def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_blocks: DataFrame, key: str, mode: str = "mixture", pairing: str = "projection",
+def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_blocks: DataFrame, key: str, mode: str = "mixture", pairing: str = "time_gated",
                         vectors: tuple[DataFrame, DataFrame] | None = None, seed: int = 42, repair: bool = True) -> DataFrame:
     """The main generator: cells to slots, stubs to slots by time on both sides, pairing in cells, repair of repeated real events.
 
     Keeps exactly: both degree sequences, events per day, and events per (customer block, product block, day).
+    `pairing` inside a cell: time_gated (affinity weighted by month, with penalties for repeated pairs and real events;
+    vectors are fitted where none are given), greedy, projection, or random.
     """
     from chronoweave.operators import priors as pr
 
@@ -344,8 +359,14 @@ def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_b
             bandwidths = pr.gap_bandwidths(base, entity, "day", [key], base.select(entity, block).distinct(), block)
         stubs = desired_days(base.select(key, entity, block, "day"), key, entity, "day", mode, f"{seed}{tag}", model, block, bandwidths)
         placed = materialize(assign_stubs(placed, stubs, block, key, entity, seed=f"{seed}{tag}"))
-    if pairing == "greedy" and vectors is not None:
-        paired = pair_greedily(placed, *vectors, real_pairs=None)
+    if pairing == "time_gated":
+        vectors = vectors or affinity_vectors(base)
+        known = base.select("customer_id", "product_id", F.trunc("day", "month").cast("date").alias("month"))
+        known = known.join(vectors[0].select("customer_id", F.col("vector").alias("u")), "customer_id").join(vectors[1].select("product_id", F.col("vector").alias("v")), "product_id")
+        gates = pr.time_gates(known, "month", "u", "v", 100.0).groupBy("month").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "weight"))), lambda x: x["weight"]).alias("weights"))
+        paired = pair_greedily(placed, *vectors, gates=materialize(gates), real_events=base)
+    elif pairing == "greedy" and vectors is not None:
+        paired = pair_greedily(placed, *vectors)
     elif pairing == "projection" and vectors is not None:
         cv, pv = vectors
         scored = placed.join(cv.select("customer_id", F.element_at("vector", 1).alias("_cs")), "customer_id", "left").join(
