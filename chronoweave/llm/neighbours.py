@@ -193,25 +193,31 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
 
     def verify(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, v, y = left["id"].to_numpy(), _matrix(left["v"], d), _matrix(left["y"], m)
-        out = []
-        for name, qv, qy, bound in zip(right["name"], right["v"], right["y"], right["bound"]):
-            q = np.frombuffer(qv)
-            norm = float(q @ q)
-            diff = y - np.frombuffer(qy)
-            far = (diff * diff).sum(axis=1)
-            order = np.argsort(far, kind="stable")
-            found_id, found, at = np.zeros(0, dtype=np.int64), np.zeros(0), 0
-            while at < len(order) and far[order[at]] <= bound * test + floor:
-                some = order[at : at + STEP]
-                some = some[far[some] <= bound * test + floor]
-                at += STEP
-                found_id = np.concatenate([found_id, ids[some]])
-                found = np.concatenate([found, (v[some] * q).sum(axis=1)])
-                best = np.lexsort((found_id, -found))[: k + 1]
-                found_id, found = found_id[best], found[best]
-                if len(found) > k:
-                    bound = min(bound, top + norm - 2 * found[-1])
-            out.append((name, found_id.tolist(), found.tolist()))
+        qs, qys = _matrix(right["v"], d), _matrix(right["y"], m)
+        length, out = (y * y).sum(axis=1), []
+        for start in range(0, len(qs), 64):
+            some_y = qys[start : start + 64]
+            fars = np.ascontiguousarray((length[:, None] - 2 * (y @ some_y.T) + (some_y * some_y).sum(axis=1)).T)
+            for far, i in zip(fars, range(start, start + 64)):
+                q, bound = qs[i], right["bound"].iat[i]
+                norm = float(q @ q)
+                order = np.flatnonzero(far <= bound * test + floor)
+                order = order[np.argsort(far[order])]
+                found_id, found, at = ids[:0], np.zeros(0), 0
+                while at < len(order) and far[order[at]] <= bound * test + floor:
+                    some = order[at : at + STEP]
+                    at += STEP
+                    # only what is within the bound can be among the nearest; its score is then taken row by row
+                    some = some[v[some] @ q >= (top + norm - bound) / 2 - 1e-9 * (top + norm)]
+                    if not len(some):
+                        continue
+                    found_id, found = np.concatenate([found_id, ids[some]]), np.concatenate([found, (v[some] * q).sum(axis=1)])
+                    best = np.lexsort((found_id, -found))[: k + 1]
+                    found_id, found = found_id[best], found[best]
+                    if len(found) > k:
+                        bound = min(bound, top + norm - 2 * found[-1])
+                if len(found):
+                    out.append((right["name"].iat[i], found_id.tolist(), found.tolist()))
         return pd.DataFrame(out, columns=["name", "ids", "scores"])
 
     def visit(visits: DataFrame) -> DataFrame:
