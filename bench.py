@@ -20,6 +20,7 @@ QUERIES = [
     "block_stub_matching", "spine_report", "spine_fidelity_slice", "column_ks", "column_shape_errors", "causal_features",
     "customer_history_features", "strict_past_neighbors", "constraint_violations", "rank_preserving_calibration",
     "customer_activity_probability", "edge_and_event_overlap", "block_pair_timestamp_ks", "chronological_split", "text_copy_rates",
+    "temporal_block_model", "rewired_edges", "structured_two_sample_test",
 ]
 
 

@@ -304,3 +304,11 @@ def equal_mass_value_bins(t: Tables):
     from chronoweave.operators.profiles import equal_mass_bins
 
     return equal_mass_bins(t.spine, "quantity", 8).select("quantity", "bin")
+
+
+@query("E2 E4", f"""WITH {SPINE}, e AS (SELECT event_id, CASE WHEN product_id % 11 <> 0 THEN customer_id END AS customer_id, ts FROM spine)
+SELECT event_id, customer_id, count(*) OVER (PARTITION BY customer_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS n FROM e""")
+def prior_counts_with_missing_customers(t: Tables):
+    """Events without a customer keep each other's company: none is lost."""
+    e = t.spine.select("event_id", F.when(F.col("product_id") % 11 != 0, F.col("customer_id")).alias("customer_id"), "ts")
+    return hi.with_prior_count(e, "customer_id", "ts", "n").select("event_id", "customer_id", "n")
