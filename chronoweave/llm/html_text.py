@@ -99,7 +99,10 @@ FURNITURE_NAMES = frozenset(
     rail widget widgets related recommended recommendations trending popular share sharing social follow comment comments disqus discussion respond reply replies
     reviews footer masthead topbar toolbar pagination pager search searchbox toc copyright legal disclaimer hidden skip""".split()
 )
-ARTICLE_NAMES = frozenset("article story post entry".split())
+#: Beginnings of longer names (cookiebar, commentlist), but not of these words.
+FURNITURE_STEMS = tuple("cookie comment advert sidebar banner navig navbar breadcrumb newsletter subscri sponsor promo popup footer masthead recommend paywall notif".split())
+FURNITURE_NOT = frozenset("commentary commentaries".split())
+ARTICLE_NAMES = frozenset("article articlebody story post entry content main prose".split())
 _DROP = re.compile(rf"<({'|'.join(DROPPED.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*\Z)", re.I | re.S)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)")
@@ -124,7 +127,7 @@ def _role(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 tokens = {t.lower() for t in _TOKEN.findall(value)}
-                furniture = furniture or bool(tokens & FURNITURE_NAMES)
+                furniture = furniture or bool(tokens & FURNITURE_NAMES) or any(t.startswith(FURNITURE_STEMS) for t in tokens - FURNITURE_NOT)
                 article = article or bool(tokens & ARTICLE_NAMES)
             elif key == "role":
                 furniture = furniture or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")

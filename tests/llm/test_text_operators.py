@@ -288,6 +288,18 @@ def test_page_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [
+    '<div class="cookiebar"><p>{}</p></div>', '<ul id="commentList"><li>{}</li></ul>', "<aside>{}</aside>", '<div role="navigation">{}</div>', '<p class="ad-label">{}</p>',
+    '<section id="related-posts"><p>{}</p></section>', "<form><p>{}</p></form>", '<div style="display: none">{}</div>', "<noscript>{}</noscript>", '<div class="newsletter-signup">{}</div>',
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_furniture_goes_wherever_it_stands(block, inside):
+    extra = block.format("These are words of a block that is not part of the article at all, however long it may be.")
+    body = "<h1>Title</h1><p>One.</p>{}<p>Two words.</p>"
+    page = f"<body><div id='content'>{body.format(extra)}</div></body>" if inside else f"<body>{extra}<article class='post'>{body.format('')}</article>{extra}</body>"
+    assert html_text.main_text(page, html_text.train()) == "Title\n\nOne.\n\nTwo words."
+
+
 def test_generated_pages_give_their_article(spark):
     import html
 
