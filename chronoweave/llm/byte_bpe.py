@@ -9,6 +9,7 @@ Pre-tokens of a batch of texts share one queue, each distinct one is merged once
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from chronoweave.llm.common import bounded_batches, query, table, whole_text, without
 
-CACHED_PIECES = 800_000  # distinct pre-tokens a worker remembers; the memory is emptied when full, results are the same
+CACHED_PIECES = 250_000  # distinct pre-tokens a worker remembers; the memory is emptied when full, results are the same
 LONG_PIECE = 256  # longer ones are not remembered
 PIECES_AT_ONCE = 2_000  # pre-tokens that share the queue
 CHARS_AT_ONCE = 1_000_000  # texts are taken together up to this size (a longer text alone)
@@ -202,9 +203,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(data.value, pattern)
-        return pd.Series(c.encode(texts))
+        for texts in batches:
+            yield pd.Series(c.encode(texts))
+        c.known.clear()
 
     return df.withColumn(into, ids.asNondeterministic()(whole_text(text)))
 
@@ -228,10 +231,12 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(data.value, pattern)
-        encoded = c.encode(texts)
-        return pd.DataFrame({"ids": encoded, "bytes": [c.decode(a.tolist()) for a in encoded]})
+        for texts in batches:
+            encoded = c.encode(texts)
+            yield pd.DataFrame({"ids": encoded, "bytes": [c.decode(a.tolist()) for a in encoded]})
+        c.known.clear()  # a worker that is kept for later stages does not keep this
 
     got = without(df.withColumn("_got", both.asNondeterministic()(whole_text(text))), [ids, into])
     return got.withColumns({ids: F.col("_got.ids"), into: F.col("_got.bytes")}).drop("_got")
