@@ -3,7 +3,7 @@ exact weighted-shingle similarity.
 
 1. A document's five-word shingles are looked up among those of the items. A window as long as an item can only be as
    similar as asked for if it holds enough of the item's shingles, and moving it right to the first of them loses none.
-   So the windows that start at a shared shingle and hold enough of them are all that matter.
+   A window that the end of the text cuts short needs fewer of them. So the windows that start at a shared shingle and hold enough of them are all that matter.
 2. Equal windows are fingerprinted once: 64 bits, each the sign of a vote of the window's shingles, repeats voting again.
 3. Fingerprints of window and item are cut into RADIUS + 1 blocks. Two fingerprints within the radius agree on one block
    at least, so an equality join on (item, block, value) loses none of them.
@@ -57,7 +57,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     found only in a document of exactly those words. Equal items are reported each. Rows that repeat an id with the
     same text give the pair once; with another text, (id, text_hash) tells them apart. Null ids are kept as null.
     """
-    share = 2 * threshold / (1 + threshold)  # of the item's shingles that a window of its length must hold
+    share = threshold / (1 + threshold)  # of the shingles of window and item together that both must hold
     wanted = items.select(F.col(item).cast("long").alias("item_id"), shingle_hashes(whole_text(item_text)).alias("hashes")).where(F.size("hashes") > 0)
     wanted = wanted.groupBy("item_id", "hashes").agg(F.count(F.lit(1)).alias("_")).drop("_").withColumn("item", F.xxhash64("item_id", "hashes"))
     wanted = materialize(wanted.withColumns({"n": F.size("hashes"), "print": simhash(F.col("hashes"))}))
@@ -66,11 +66,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
         looked_up = F.broadcast(looked_up)
 
     given = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), whole_text(text).alias("text"))
-    spread = given.select("id", "text_hash", F.posexplode(shingle_hashes(F.col("text"))).alias("at", "hash"))
+    shingled = given.select("id", "text_hash", shingle_hashes(F.col("text")).alias("hashes")).withColumn("length", F.size("hashes"))
+    spread = shingled.select("id", "text_hash", "length", F.posexplode("hashes").alias("at", "hash"))
     # repeated rows repeat their positions, hence the set
-    held = spread.join(looked_up, "hash").groupBy("id", "text_hash", "item", "n").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    least = F.ceil(F.col("n") * share - 1e-9).cast("int")
-    start = F.filter(F.transform("at", lambda p, i: F.when(F.get("at", i + least - 1) - p < F.col("n"), p)), lambda p: p.isNotNull())
+    held = spread.join(looked_up, "hash").groupBy("id", "text_hash", "item", "n").agg(F.array_sort(F.collect_set("at")).alias("at"), F.max("length").alias("length"))
+    least = lambda p: F.ceil((F.col("n") + F.least(F.col("n"), F.col("length") - p)) * share - 1e-9).cast("int")
+    start = F.filter(F.transform("at", lambda p, i: F.when(F.get("at", i + least(p) - 1) - p < F.col("n"), p)), lambda p: p.isNotNull())
     windows = materialize(held.withColumn("start", start).where(F.size("start") > 0).select("id", "text_hash", "item", "n", "start"))
 
     texts = given.join(windows.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))

@@ -162,6 +162,21 @@ def test_decontamination_with_repeats_and_without_broadcast(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.without_benchmark(df, bench).collect()] == [2]
 
 
+def test_decontamination_of_passages_cut_by_the_end_of_the_text(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(invented(rng, n))) for k, n in enumerate([60, 60, 33, 20])]
+    docs = []
+    for d in range(120):
+        passage = items[d % 4][1].split()
+        passage = passage[: round(len(passage) * rng.uniform(0.75, 1))]
+        docs.append((d, " ".join((invented(rng, rng.randrange(60)) if d % 3 else []) + passage)))
+    docs.append((200, " ".join(items[0][1].split()[:51])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == windows_by_hand(docs, items) and got[200, 0] == round(47 / 56, 6)
+    assert 200 not in {r["doc_id"] for r in decontaminate.without_benchmark(df, bench).collect()}
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng = random.Random(9)
     rows = []
