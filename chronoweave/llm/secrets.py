@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -33,6 +34,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _OPERATOR = re.compile(r"[:=]")
 _TARGET = re.compile(r"(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]*+)(?:[\"'`]\]?)?[ \t]*+(?::=|=>|=(?![=~>])|:(?!//))[ \t]*+")
 _OPERAND = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([^\s,;\"'`{}()\[\]<>+]++)")
+#: Type and equals sign behind `name:`. Every repetition is bounded and possessive, so long lines stay linear.
+_INSIDE = r"[^\[\]<>=\n]{0,200}+"
+_GENERIC = rf"[\[<]{_INSIDE}(?:[\[<]{_INSIDE}(?:[\[<]{_INSIDE}[\]>]{_INSIDE}){{0,8}}+[\]>]{_INSIDE}){{0,8}}+[\]>]"
+_TYPE = rf"(?:[&*]|'[a-z]+[ \t]+|mut[ \t]+|dyn[ \t]+){{0,8}}+(?:[A-Za-z_][A-Za-z0-9_.:]{{0,200}}+(?:{_GENERIC})?+|{_GENERIC}|\"[^\"=\n]{{1,200}}+\"|'[^'=\n]{{1,200}}+')[?!]?+(?:\[\]){{0,8}}+"
+_ANNOTATION = re.compile(rf"{_TYPE}(?:[ \t]*+[|&][ \t]*+{_TYPE}){{0,20}}+[ \t]*+=(?![=~>])[ \t]*+")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_])")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -61,59 +67,98 @@ def literal_weight(text: str) -> float:
     return min(1.0, 0.25 * min(n, 16) / 16 + 0.5 * min(bits, 3.5) / 3.5 + 0.125 * min(kinds, 2)) * (0.5 if kinds == 1 else 1.0)
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, operands) for each assignment; an operand is (text, start, end, quoted)."""
-    found = []
+def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]], bool, bool]]:
+    """(name, operands, typed, colon) for each assignment; an operand is (text, start, end, quoted).
+
+    `name: type = literal` is one pair of name and literal. The type is kept as an assigned name too, as in `run: NAME=x`,
+    but `typed`: a later `other: type` is then no reference to it.
+    """
+    found, notes_end = [], 0
     for m in _TARGET.finditer(text):
-        at, operands = m.end(), []
-        while piece := _OPERAND.match(text, at):
-            group = piece.lastindex
-            operands.append((piece[group], piece.start(group), piece.end(group), group < 4))
-            at = piece.end()
-            more = _PLUS.match(text, at)
-            if not more:
-                break
-            at = more.end()
-        if operands:
-            found.append((m[1], operands))
+        at, typed = m.end(), m.start(1) < notes_end
+        colon = text[m.start() : at].rstrip().endswith(":")
+        if colon and (note := _ANNOTATION.match(text, at)):
+            notes_end = note.end()
+            if behind := _operands(text, notes_end):
+                found.append((m[1], behind, False, False))
+                # what may be a value with = in it stays a value
+                plain = _OPERAND.match(text, at)
+                if plain and "=" not in plain[0]:
+                    continue
+        if operands := _operands(text, at):
+            found.append((m[1], operands, typed, colon))
     return found
 
 
+def _operands(text: str, at: int) -> list[tuple[str, int, int, bool]]:
+    operands = []
+    while piece := _OPERAND.match(text, at):
+        group = piece.lastindex
+        operands.append((piece[group], piece.start(group), piece.end(group), group < 4))
+        at = piece.end()
+        more = _PLUS.match(text, at)
+        if not more:
+            break
+        at = more.end()
+    return operands
+
+
 def lexed(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, score) of literals that reach a sensitive name, directly or through other names."""
+    """(start, end, name, score) of literals that reach a sensitive name, directly or through other names.
+
+    A name stands for the union of its definitions: each is scored by itself, and in a concatenation the latest earlier
+    one counts (the first one, if none is earlier). So the order of lines does not matter.
+    """
     pairs = assignments(text)
-    values: dict[str, list] = {}
-    for name, operands in pairs:
-        values.setdefault(name, operands)  # the first definition counts
-    # Literal pieces behind a name: repeated until nothing is added, so the order of lines does not matter.
-    pieces: dict[str, set] = {name: {o[1:3] for o in ops if o[3] or not _NAME.match(o[0]) or o[0] not in values} for name, ops in values.items()}
-    users: dict[str, set] = {}
-    for name, ops in values.items():
-        for o in ops:
-            if not o[3] and o[0] in values and o[0] != name:
-                users.setdefault(o[0], set()).add(name)
-    todo = list(users)
-    while todo:
-        source = todo.pop()
-        for name in users.get(source, ()):
-            if not pieces[source] <= pieces[name]:
-                pieces[name] |= pieces[source]
-                todo.append(name)
+    defined: dict[str, list[int]] = {}
+    types = {name for name, _, typed, _ in pairs if typed}
+    for i, (name, *_) in enumerate(pairs):
+        defined.setdefault(name, []).append(i)
+
+    # per pair: literal spans, names referred to
+    literals, names = [], []
+    for _, operands, _, colon in pairs:
+        refers = [not o[3] and o[0] in defined for o in operands]
+        literals.append([o[1:3] for o, r in zip(operands, refers) if not r])
+        names.append([o[0] for o, r in zip(operands, refers) if r and not (colon and o[0] in types)])
+
+    pieces: dict[int, tuple[set, float]] = {}
+
+    def reach(i: int) -> tuple[set, float]:
+        """Literal spans of a pair, also behind names, and how much they look like a secret."""
+        if i not in pieces:
+            seen, todo, spans = {i}, [i], set()
+            while todo:
+                j = todo.pop()
+                spans.update(literals[j])
+                for name in names[j]:
+                    k = defined[name][max(0, bisect_left(defined[name], j) - 1)]
+                    if k not in seen:
+                        seen.add(k)
+                        todo.append(k)
+            pieces[i] = spans, literal_weight("".join(text[s:e] for s, e in sorted(spans)))
+        return pieces[i]
+
     best: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, operands in pairs:
-        weight = name_weight(name)
+    used: set[str] = set()
+    targets = sorted(((name_weight(name), i) for i, (name, *_) in enumerate(pairs)), key=lambda x: (-x[0], x[1]))
+    for weight, i in targets:
         if weight <= 0:
-            continue
-        spans = {o[1:3] for o in operands if o[3] or o[0] not in values}
-        for o in operands:
-            if not o[3] and o[0] in values:
-                spans |= pieces[o[0]]
-        whole = "".join(text[s:e] for s, e in sorted(spans))
-        score = weight * literal_weight(whole)
-        if score >= MIN_SCORE:
-            for span in spans:
-                if span[1] > span[0] and score > best.get(span, ("", 0.0))[1]:
-                    best[span] = (name, score)
+            break
+        # the pair, then every definition of the names behind it; a name met before has had at least this weight
+        todo, target = [i], pairs[i][0]
+        while todo:
+            j = todo.pop()
+            spans, looks = reach(j)
+            score = weight * looks
+            if score >= MIN_SCORE:
+                for span in spans:
+                    if span[1] > span[0] and score > best.get(span, ("", 0.0))[1]:
+                        best[span] = (target, score)
+            for name in names[j]:
+                if name not in used:
+                    used.add(name)
+                    todo += defined[name]
     return [(s, e, n, round(w, 6)) for (s, e), (n, w) in sorted(best.items())]
 
 

@@ -63,6 +63,21 @@ def test_constants_reach_sensitive_names():
     assert found == ["Zk3vQ9xLm2Pw7Rt5", "Ab3dEf9h", "Jk2mNp4q"]
 
 
+@pytest.mark.parametrize("code, expected", [
+    ('key = ""\nkey = "Zk3vQ9xLm2Pw7Rt5"\ndb_password = key\n', ["Zk3vQ9xLm2Pw7Rt5"]),
+    ('key = "Zk3vQ9xLm2Pw7Rt5"\nif test:\n    key = "a b"\ndb_password = key\n', ["Zk3vQ9xLm2Pw7Rt5"]),
+    ('a = "x"\na = "Zk3vQ9xLm2Pw7Rt5"\nb = a\na = ""\ndb_password = b\n', ["Zk3vQ9xLm2Pw7Rt5"]),
+    ('p = ""\np = "Zk3vQ9"\nq = "xLm2Pw"\ndb_password = p + q\n', ["Zk3vQ9", "xLm2Pw"]),
+    ('user: str = "alice"\npassword: str = "xK9#fQ2!mZ7pLw3v"\n', ["xK9#fQ2!mZ7pLw3v"]),
+    ('user: str = "Zk3vQ9xLm2Pw7Rt5"\npassword: str\n', []),
+    ('color: Optional[str] = "Zk3vQ9xLm2Pw7Rt5"\nlet token: Map<string, string> | null = "xK9#fQ2!mZ7pLw3v";\n', ["xK9#fQ2!mZ7pLw3v"]),
+    ("const KEY: &'static str = \"Zk3vQ9xLm2Pw7Rt5\";\nlet secret = KEY;\n", ["Zk3vQ9xLm2Pw7Rt5"]),
+    ('run: PASSWORD="Zk3vQ9xLm2Pw7Rt5"\n', ["Zk3vQ9xLm2Pw7Rt5"]),
+])
+def test_redefined_and_typed_names(code, expected):
+    assert [code[s["start"] : s["end"]] for s in secrets.spans_of(code) if s["kind"] == "lexed"] == expected
+
+
 def test_cyclic_names_and_long_runs_end():
     assert spans("a_secret = b_secret\nb_secret = a_secret\n", "lexed") == []
     assert secrets.spans_of("x" * 200_000 + "=" + "y." * 50_000) == []
