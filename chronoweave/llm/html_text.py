@@ -90,7 +90,9 @@ LABELLED = """
 
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script style noscript template svg math iframe object canvas select button textarea option head title audio video map"
+RAW = frozenset("script style textarea title".split())  # their content is no markup: without a closing tag it runs to the end of the page
+DROPPED = "script style noscript template svg math iframe object canvas select button textarea option title audio video map"
+WHOLE_PAGE = frozenset("html body main article".split())  # what furniture such a container names is beside the text or absent
 CONTAINERS = frozenset("div section nav header footer aside form fieldset dialog menu article main ul ol dl table figure details body td center".split())
 FURNITURE_TAGS = frozenset("nav footer aside form fieldset dialog menu".split())
 FURNITURE_NAMES = frozenset(
@@ -103,8 +105,9 @@ FURNITURE_NAMES = frozenset(
 FURNITURE_STEMS = tuple("cookie comment advert sidebar banner navig navbar breadcrumb newsletter subscri sponsor promo popup footer masthead recommend paywall notif".split())
 FURNITURE_NOT = frozenset("commentary commentaries".split())
 ARTICLE_NAMES = frozenset("article articlebody story post entry content main prose".split())
-_DROP = re.compile(rf"<({'|'.join(DROPPED.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*\Z)", re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({'|'.join(DROPPED.split())})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I | re.S)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in DROPPED.split()}
+_OPTION = re.compile(r"<(?:(/option)\s*+>|/?(?:option|optgroup|select|datalist)(?=[\s/>]))", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -127,7 +130,8 @@ def _role(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 tokens = {t.lower() for t in _TOKEN.findall(value)}
-                furniture = furniture or bool(tokens & FURNITURE_NAMES) or any(t.startswith(FURNITURE_STEMS) for t in tokens - FURNITURE_NOT)
+                if name not in WHOLE_PAGE:
+                    furniture = furniture or bool(tokens & FURNITURE_NAMES) or any(t.startswith(FURNITURE_STEMS) for t in tokens - FURNITURE_NOT)
                 article = article or bool(tokens & ARTICLE_NAMES)
             elif key == "role":
                 furniture = furniture or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
@@ -139,9 +143,38 @@ def _role(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
     return furniture, article
 
 
+def _without_dropped(page: str) -> str:
+    """The page without comments and dropped elements.
+
+    An element that closes itself is empty. One that is never closed loses its tag only, an option the text up to the
+    next tag; raw text runs to the end of the page.
+    """
+    out, at, unclosed = [], 0, set()
+    while m := _DROP.search(page, at):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if not m[1]:
+            continue
+        out.append(" ")
+        name = m[1].lower()
+        if name not in RAW and m[2].endswith("/"):
+            continue
+        close = None if name in unclosed else (_OPTION if name == "option" else _CLOSE[name]).search(page, at)
+        if not close:
+            unclosed.add(name)  # nor is any later one
+        if close and (name != "option" or close[1]):
+            at = close.end()
+        elif name in RAW:
+            at = len(page)
+        elif name == "option":
+            following = page.find("<", at)
+            at = following if following >= 0 else len(page)
+    return "".join(out) + page[at:]
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; markup that is never closed ends with the page."""
-    page = _DROP.sub(" ", _COMMENT.sub("", page)) if "<" in page else page
+    page = _without_dropped(page) if "<" in page else page
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open containers: tag, furniture, article (both inherited)
     parts: list[str] = []

@@ -315,6 +315,22 @@ def test_furniture_goes_wherever_it_stands(block, inside):
     assert html_text.main_text(page, html_text.train()) == "Title\n\nOne.\n\nTwo words."
 
 
+@pytest.mark.parametrize("page", [
+    "<head><title>x</title><body><article>{}</article>", "<head><meta charset=utf-8><title>x</title><article>{}</article>", "<body><datalist><option value=1><option value=2>b</datalist>{}</body>",
+    "<datalist><option value=1>{}", '<svg viewBox="0 0 1 1"/>{}', "<svg/>{}<svg><title>icon</title></svg>", "<video src=x>{}", "<video-player></video-player>{}", '<script>x = "<!--"</script>{}',
+    '<body class="no-sidebar single-post">{}</body>', '<html class="no-ads"><body id="skip">{}</body></html>', '<article class="post has-comments">{}</article>', '<main class="with-sidebar">{}</main>',
+])
+def test_no_page_or_tail_is_lost(page):
+    text = "This is one long paragraph of the page that holds nothing but its main text, and there is much of it to be read."
+    assert html_text.main_text(page.format(f"<p>{text}</p><p>{text}</p>"), html_text.train()) == f"{text}\n\n{text}"
+
+
+def test_raw_text_and_closed_elements_go():
+    kept = [b.text for b in html_text.blocks("<p>a</p><select><option>x<option>y</select><svg><g/><title>t</title></svg><p>b</p><option><b>x</b></option><button>c</button><script>d")]
+    assert kept == ["a", "b"]
+    assert len(html_text.blocks("<button><video><option>" * 20_000 + "<p>x</p>")) == 1
+
+
 def test_generated_pages_give_their_article(spark):
     import html
 
