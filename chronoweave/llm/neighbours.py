@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.kernels import materialize
@@ -113,13 +113,22 @@ def _matrix(column, width: int, dtype=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=dtype).reshape(-1, width)
 
 
+def _best(pairs: Column, n: int) -> Column:
+    """The n first of an array of (order, id), one for each id."""
+    by_id = F.array_sort(F.transform(pairs, lambda x: F.struct(x["id"].alias("id"), x["order"].alias("order"))))
+    # bound once: the lambda sees the sorted array of the one-element outer array
+    firsts = F.flatten(F.transform(F.array(by_id), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["id"] != x["id"]))))
+    return F.slice(F.array_sort(F.transform(firsts, lambda x: F.struct(x["order"].alias("order"), x["id"].alias("id")))), 1, n)
+
+
 def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """(query_id, rank, id, score): for each row of `df` where the Column `is_query` holds, its k nearest other rows.
 
     Nearest first by inner product in double precision, ties to the smaller id; fewer than k rows where there are fewer
     candidates. Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows
-    without an id or with another number of components than most rows have. A row repeated with the same vector
-    is one candidate, and all rows with the query's id count as the query's own; an empty table gives no rows.
+    without an id or with another number of components than most rows have. Rows that repeat an id
+    are one candidate with the best of their scores, and all rows with the query's id count as the query's own; an empty
+    table gives no rows.
     """
     m, test = PROJECTIONS, chi_square_quantile(PROJECTIONS, confidence)
     usable = _usable(df, row, vector)
@@ -142,7 +151,7 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
 
     schema = "id long, name string, v binary, y binary"
     sized = lambda x: x.where(F.size("v") == d)
-    rows = materialize(sized(usable).mapInArrow(project(True), schema))
+    rows = materialize(sized(usable).mapInArrow(project(True), schema).dropDuplicates(["id", "name"]))
     queries = materialize(sized(asked).mapInArrow(project(False), schema))
 
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("y").collect()
@@ -195,6 +204,7 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
         ids, v, y = left["id"].to_numpy(), _matrix(left["v"], d), _matrix(left["y"], m)
         qs, qys = _matrix(right["v"], d), _matrix(right["y"], m)
         length, out = (y * y).sum(axis=1), []
+        repeated = len(np.unique(ids)) < len(ids)  # an id with several vectors
         for start in range(0, len(qs), 64):
             some_y = qys[start : start + 64]
             fars = np.ascontiguousarray((length[:, None] - 2 * (y @ some_y.T) + (some_y * some_y).sum(axis=1)).T)
@@ -212,7 +222,10 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
                     if not len(some):
                         continue
                     found_id, found = np.concatenate([found_id, ids[some]]), np.concatenate([found, (v[some] * q).sum(axis=1)])
-                    best = np.lexsort((found_id, -found))[: k + 1]
+                    best = np.lexsort((found_id, -found))
+                    if repeated:
+                        best = best[np.sort(np.unique(found_id[best], return_index=True)[1])]
+                    best = best[: k + 1]
                     found_id, found = found_id[best], found[best]
                     if len(found) > k:
                         bound = min(bound, top + norm - 2 * found[-1])
@@ -235,7 +248,7 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
         pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("order"), x["ids"].alias("id")))
         # two steps, so that no task holds more than a share of what a query's visits returned
         some = got.select("name", pairs.alias("best"), F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("salt"))
-        top_of = lambda: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best")
+        top_of = lambda: _best(F.flatten(F.collect_list("best")), k + 1).alias("best")
         return some.groupBy("name", "salt").agg(top_of()).groupBy("name").agg(top_of())
 
     distinct = queries.groupBy("name").agg(F.first("v").alias("v"), F.first("y").alias("y"))
@@ -252,8 +265,8 @@ def search(df: DataFrame, is_query, k: int = 20, row: str = "vec_id", vector: st
     bounded = distinct.join(first.select("name", bound.alias("bound")), "name").select("name", "v", "y", "bound").mapInArrow(add_norm, "name string, v binary, y binary, bound double")
     later = visit(materialize(bounded.mapInArrow(choose(False), columns)))
     # what the first look found stays, whether or not the test would have led there again
-    both = F.array_sort(F.array_union("best", F.coalesce("more", F.array().cast("array<struct<order:double,id:bigint>>"))))
-    final = first.join(later.withColumnRenamed("best", "more"), "name", "left").select("name", F.slice(both, 1, k + 1).alias("best"))
+    both = F.concat("best", F.coalesce("more", F.array().cast("array<struct<order:double,id:bigint>>")))
+    final = first.join(later.withColumnRenamed("best", "more"), "name", "left").select("name", _best(both, k + 1).alias("best"))
     lists = queries.select(F.col("id").alias("query_id"), "name").distinct().join(final, "name")
     others = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
     ranked = lists.select("query_id", F.posexplode(others).alias("at", "one"))

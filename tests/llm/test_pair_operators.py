@@ -230,6 +230,27 @@ def test_neighbours_recall_scores_and_ties(spark):
             assert [i for i, _, _ in got[q]] == same[:20]
 
 
+def test_repeated_rows_and_ids_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    far = [(7, (v[7] * 0.5 + 1e-3 * j).tolist()) for j in range(60)] + [(9, (v[9] * (1 + 1e-3 * j)).tolist()) for j in range(60)]
+    top = int(np.argmax(np.where(np.arange(300) == 0, -np.inf, v @ v[0])))
+    df = spark.createDataFrame(rows * 2 + [rows[top]] * 30 + far, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, (F.col("vec_id") % 20 == 0)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    every, of = np.vstack([v] + [np.array([x]) for _, x in far]), np.array([*range(300), *[i for i, _ in far]])
+    hit = 0
+    for q in range(0, 300, 20):
+        s = np.full(300, -np.inf)
+        np.maximum.at(s, of, (every * v[q]).sum(axis=1))
+        s[q] = -np.inf
+        assert len(got[q]) == 20 and len({i for i, _ in got[q]}) == 20 and all(abs(s[i] - x) < 1e-12 for i, x in got[q])
+        hit += len({i for i, _ in got[q]} & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 300 > 0.95
+
+
 def test_few_candidates_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
