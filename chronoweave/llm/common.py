@@ -92,3 +92,11 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The table without columns that would clash (case-insensitively) with those an operator adds."""
     lower = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
+def fresh_name(df: DataFrame, like: str) -> str:
+    """A column name that the table does not have, for columns that an operator drops again."""
+    taken, name = {c.lower() for c in df.columns}, f"_{like}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
