@@ -52,6 +52,6 @@ def test_stages_on_odd_and_empty_tables(spark):
 
 
 def test_run_and_registration(spark):
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "token_ids", "n_tokens", "round_trip"] and out.where(~F.col("round_trip")).count() == 0 and out.count() > 0
