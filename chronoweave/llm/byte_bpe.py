@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import bounded_batches, query, table, whole_text, without
+from chronoweave.llm.common import bounded_batches, fresh_name, query, table, whole_text, without
 
-CACHED_PIECES = 250_000  # distinct pre-tokens a worker remembers; the memory is emptied when full, results are the same
+REMEMBERED_BYTES = 80 << 20  # of pre-tokens a worker remembers in each of two generations; results do not depend on it
+ENTRY_BYTES = 200  # of a remembered pre-token beside its text and ids
 LONG_PIECE = 256  # longer ones are not remembered
 PIECES_AT_ONCE = 2_000  # pre-tokens that share the queue
 CHARS_AT_ONCE = 1_000_000  # texts are taken together up to this size (a longer text alone)
@@ -85,6 +86,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(self.size)  # empty again after each merge()
         self.known: dict[str, bytes] = {}  # ids as packed integers
+        self.older: dict[str, bytes] = {}  # what was known when the memory was last full; what is used of it moves over
+        self.held = 0  # bytes of `known`
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each pre-token. They share one queue: pairs never reach across a border between two of them."""
@@ -147,12 +150,14 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text. Pre-tokens not seen before are merged together."""
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         split, known, ranks = self.split, self.known, self.ranks
         pieces = [split(t) for t in texts]
-        fresh = {p for ps in pieces for p in ps if p not in known}
-        if len(known) + len(fresh) > CACHED_PIECES:
-            known.clear()
-            fresh = {p for ps in pieces for p in ps}
+        asked = {p for ps in pieces for p in ps if p not in known}
+        again = {p: ids for p in asked if (ids := self.older.get(p)) is not None}
+        known.update(again)
+        fresh = asked - again.keys()
         raw = {p: p.encode("utf-8") for p in fresh}
         known.update((p, self.packed([ranks[b]])) for p, b in raw.items() if b in ranks)
         rest = [(p, b) for p, b in raw.items() if b not in ranks]
@@ -163,8 +168,12 @@ class Codec:
         for p in fresh:
             if len(p) > LONG_PIECE:
                 del known[p]
+        self.held += sum(ENTRY_BYTES + len(p) + len(known[p]) for p in asked if p in known)
         return out
 
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
     def encode(self, texts) -> list[np.ndarray]:
         out, some, chars = [], [], 0
         for t in texts:
@@ -193,11 +202,13 @@ def _shared(spark, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "token_ids", keep: bool = True) -> DataFrame:
     """`df` with `into`: array<int> of the whole text's token ids; null and empty texts have an empty array.
 
     `vocabulary` is a rank file read on the driver (size checked) and sent to the executors once. Special tokens are
     plain text. A column named `into` is replaced. Each row stands alone: repeated rows and ties need no rule.
+    Workers remember the ids of pre-tokens (bounded by REMEMBERED_BYTES) from task to task; with `keep` off they forget them
+    at the end of a task, which leaves more memory to other stages and takes more time.
     """
     bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
@@ -205,9 +216,12 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(data.value, pattern)
-        for texts in batches:
-            yield pd.Series(c.encode(texts))
-        c.known.clear()
+        try:
+            for texts in batches:
+                yield pd.Series(c.encode(texts))
+        finally:
+            if not keep:
+                c.forget()
 
     return df.withColumn(into, ids.asNondeterministic()(whole_text(text)))
 
@@ -225,7 +239,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(into, back.asNondeterministic()(F.col(ids)))
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded", keep: bool = True) -> DataFrame:
     """encode() and decode() in one pass over the rows: `ids` and, decoded from them, `into`."""
     bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
@@ -233,13 +247,17 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(data.value, pattern)
-        for texts in batches:
-            encoded = c.encode(texts)
-            yield pd.DataFrame({"ids": encoded, "bytes": [c.decode(a.tolist()) for a in encoded]})
-        c.known.clear()  # a worker that is kept for later stages does not keep this
-
-    got = without(df.withColumn("_got", both.asNondeterministic()(whole_text(text))), [ids, into])
-    return got.withColumns({ids: F.col("_got.ids"), into: F.col("_got.bytes")}).drop("_got")
+        try:
+            for texts in batches:
+                encoded = c.encode(texts)
+                yield pd.DataFrame({"ids": encoded, "bytes": [c.decode(a.tolist()) for a in encoded]})
+        finally:
+            if not keep:
+                c.forget()
+
+    name = fresh_name(df, "got")
+    got = without(df.withColumn(name, both.asNondeterministic()(whole_text(text))), [ids, into])
+    return got.withColumns({ids: F.col(f"{name}.ids"), into: F.col(f"{name}.bytes")}).drop(name)
 
 
 @query()

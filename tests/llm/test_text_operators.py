@@ -119,6 +119,21 @@ def test_long_pretokens_equal_the_library(codec, reference):
         assert codec.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_memory_of_pretokens_is_bounded_in_bytes_and_outlives_a_task(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 20_000)
+    small = byte_bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(3_000)]
+    for _ in range(40):
+        text = " ".join(rng.sample(pool, 60)) + " common words " + "z" * 400
+        assert small.encode([text])[0].tolist() == reference.encode_ordinary(text)
+        size = sum(byte_bpe.ENTRY_BYTES + len(p) + len(v) for p, v in small.known.items())
+        assert size == small.held <= 20_000 + 60 * 300 and len(small.older) <= 200
+    assert " common" in small.known and small.older and "z" * 400 not in small.known
+    small.forget()
+    assert not small.known and not small.older and not small.held
+
+
 def test_lower_rank_that_appears_late_goes_first():
     """A merge may open a pair of a lower rank; it goes before the rest of the bucket."""
     tokens = [bytes([b]) for b in range(256)] + [b"xyab", b"ab", b"xy"]  # xyab has a lower rank than its parts
