@@ -48,11 +48,9 @@ def state_tables(n: int) -> tuple[list[int], list[int]]:
     return digits, states
 
 
-def curve_index(cells: Sequence[Column], bits: int) -> Column:
-    """Position on the Hilbert curve of the cell with these coordinates, each of `bits` bits."""
-    n = len(cells)
+def curve_index(coordinates: Column, n: int, bits: int) -> Column:
+    """Position on the Hilbert curve of the cell with these n coordinates (array<int>), each of `bits` bits."""
     digits, states = (F.array(*[F.lit(v) for v in t]) for t in state_tables(n))
-    coordinates = F.array(*[c.cast("int") for c in cells])
 
     def step(at: Column, level: Column) -> Column:
         bit = lambda j: F.call_function("shiftright", F.element_at(coordinates, j + 1), level).bitwiseAND(1) * (1 << j)
@@ -89,8 +87,10 @@ def on_curve(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int =
     """`df` with `into`: long, the row's place on the curve. Values of any ordered type; nulls lie in cell 0."""
     if not 1 <= len(dimensions) * bits <= 62:
         raise ValueError("dimensions * bits must be between 1 and 62")
-    cells = [cell_of(df, d, cell_starts(df, d, bits)) for d in dimensions]
-    return without(df, [into]).withColumn(into, curve_index(cells, bits))
+    df = without(df, [into])
+    cells = fresh_name(df, "cells")  # a column of its own, so that each level of the curve reads it and does not find it anew
+    coded = df.withColumn(cells, F.array(*[cell_of(df, d, cell_starts(df, d, bits)) for d in dimensions]))
+    return coded.withColumn(into, curve_index(F.col(cells), len(dimensions), bits)).drop(cells)
 
 
 def shards(

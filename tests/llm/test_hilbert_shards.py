@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("n,bits", [(1, 4), (2, 4), (3, 3), (4, 2)])
 def test_curve_visits_every_cell_once_and_steps_to_neighbours(spark, n, bits):
     cells = spark.range(1 << n * bits).select(*[F.shiftright("id", bits * j).bitwiseAND((1 << bits) - 1).alias(f"c{j}") for j in range(n)])
-    at = sorted(cells.withColumn("at", hs.curve_index([F.col(f"c{j}") for j in range(n)], bits)).collect(), key=lambda r: r["at"])
+    at = sorted(cells.withColumn("at", hs.curve_index(F.array(*[F.col(f"c{j}").cast("int") for j in range(n)]), n, bits)).collect(), key=lambda r: r["at"])
     assert [r["at"] for r in at] == list(range(1 << n * bits))
     assert all(sum(abs(a[j] - b[j]) for j in range(n)) == 1 for a, b in zip(at, at[1:]))
 
