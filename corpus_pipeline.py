@@ -46,7 +46,7 @@ def tokens(spark, docs, sf_dir):
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    done = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
+    done = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern, keep=False)
     return done.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
