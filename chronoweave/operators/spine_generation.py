@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.cleaning import dot, norm, reflect_unit
 from chronoweave.functions.hashing import as_col, hashed_long, hashed_normal, hashed_unit
-from chronoweave.functions.kernels import aligned_counts, materialize, numbered, ordered
+from chronoweave.functions.kernels import aligned_counts, join_groups, materialize, numbered, ordered
 from chronoweave.operators import counts as ct
 
 CHUNK = 10_000
@@ -42,21 +42,21 @@ def pick_by_weight(draws: DataFrame, u: str, table: DataFrame, weight: str, orde
     by = list(by)
     t = ordered(table.where(F.col(weight) > 0), by, list(order), rank="_k", before={"_start": F.col(weight)})
     total = t.groupBy(*by).agg(F.sum(weight).alias("_total"))
-    t = t.join(total, by) if by else t.withColumn("_total", F.lit(total.first()[0]))
+    t = join_groups(t, total, by) if by else t.withColumn("_total", F.lit(total.first()[0]))
     t = t.withColumn("_x", F.col("_start") / F.col("_total"))
     key = [c for c in draws.columns if c not in (*by, u)]
     nulls = [F.lit(None).cast(draws.schema[c].dataType).alias(c) for c in key]
     marks = t.select(*by, "_x", F.lit(1).alias("_s"), F.lit(None).cast("double").alias(u), *nulls)
     asked = draws.select(*by, F.col(u).alias("_x"), F.lit(0).alias("_s"), u, *key)
     run = ordered(marks.unionByName(asked), by, ["_x", F.desc("_s"), *key], through={"_k": F.col("_s")}).where(F.col("_s") == 0)
-    return run.select(*by, *key, "_k").join(t.select(*by, "_k", *keep), [*by, "_k"]).drop("_k")
+    return join_groups(run.select(*by, *key, "_k"), t.select(*by, "_k", *[c for c in keep if c not in by]), [*by, "_k"]).drop("_k")
 
 
 def match_by_rank(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: Sequence, right_order: Sequence) -> DataFrame:
-    """Pair the i-th left row with the i-th right row inside each group."""
+    """Pair the i-th left row with the i-th right row inside each group (null keys form a group)."""
     a = ordered(left, list(by), list(left_order), rank="_r")
     b = ordered(right, list(by), list(right_order), rank="_r")
-    return a.join(b, [*by, "_r"]).drop("_r")
+    return join_groups(a, b, [*by, "_r"]).drop("_r")
 
 
 def scale_counts(df: DataFrame, key: Sequence[str], n: str, total: int, out: str = "scaled") -> DataFrame:
