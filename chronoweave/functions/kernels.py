@@ -48,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Columns and rows picked from one table of files: cheaper to read again than to write."""
+    if not hasattr(df, "_jdf"):
+        return False
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.nodeName().startswith("Relation")
+
+
 def drop_workspace(spark: SparkSession) -> None:
     """Delete every intermediate table this application wrote."""
     path = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark))
@@ -81,13 +91,13 @@ def ordered(
     Null keys form a group like any other, on both plans. `order` should end in a tie-break. Running sums of
     fractional values may differ between the plans in the last digit (sum decimals where that matters).
 
-    The input is written once, so its plan runs once however many passes follow.
+    Unless the input is read from files as it stands, it is written once, so its plan runs once however many passes follow.
     """
     by = list(by)
     before, through = dict(before or {}), dict(through or {})
     previous, following = dict(previous or {}), dict(following or {})
     if by:
-        df = materialize(df)
+        df = df if _is_scan(df) else materialize(df)
         largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
         if largest <= (HOT_GROUP_ROWS if hot is None else hot):
             return _windowed(df, by, order, rank, before, through, previous, following)

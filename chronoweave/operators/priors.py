@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.cleaning import logit
 from chronoweave.functions.hashing import hashed_long
-from chronoweave.functions.kernels import ordered, quantiles
+from chronoweave.functions.kernels import materialize, ordered, quantiles
 
 TINY = 1e-8
 AGE_BINS = ["pre_active", "early", "mid", "late", "post_active", "single_day"]
@@ -91,8 +91,11 @@ def first_level(df: DataFrame, levels: Sequence[tuple[str, DataFrame, Sequence[s
 
 
 def median_degree(df: DataFrame, entity: str, default: float = 10.0) -> float:
-    d = df.groupBy(entity).agg(F.count(F.lit(1)).alias("d"))
-    m = quantiles(d, "d", {"m": 0.5}).first()["m"]
+    return _median(df.groupBy(entity).agg(F.count(F.lit(1)).alias("d")), "d", default)
+
+
+def _median(rows: DataFrame, value: str, default: float = 10.0) -> float:
+    m = quantiles(rows, value, {"m": 0.5}).first()["m"]
     return m if m and m > 0 else default
 
 
@@ -157,9 +160,9 @@ def activity_model(df: DataFrame, entity: str, day: str, blocks: DataFrame, bloc
 
     P(t) = w * own(t) + (1-w) * block(t) with w = degree/(degree+alpha).
     """
-    a = median_degree(df, entity) if alpha is None else alpha
-    counts = df.groupBy(entity, day).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(df.groupBy(entity, day).agg(F.count(F.lit(1)).alias("n")))
     degree = counts.groupBy(entity).agg(F.sum("n").alias("degree"))
+    a = _median(degree, "degree") if alpha is None else alpha
     own = counts.join(degree, entity).join(blocks, entity, "left").withColumn(block, F.coalesce(F.col(block).cast("int"), F.lit(0)))
     own = own.select(entity, block, day, (F.col("n") / F.col("degree")).alias("own_p"), (F.col("degree") / (F.col("degree") + F.lit(float(a)))).alias("weight"), "n", "degree")
     by_block = own.groupBy(block, day).agg(F.sum("n").alias("bn"))

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from chronoweave.operators import counts as ct
 
 CHUNK = 10_000
 PAIRING_RUN = 500
+BATCH_ROWS = 5_000
 EPOCH = "1970-01-01"
 
 
@@ -210,69 +214,106 @@ def pair_greedily(assigned: DataFrame, customer_vectors: DataFrame, product_vect
 
     One rule for cells of any size: a small cell is one short run. Scores are vector products, weighted per dimension by
     the `gates` (month, weights) of the cell's month, minus penalties for a repeated pair in the run, for a real pair and
-    for a real event of that day. A task never holds more than `run` rows of a cell.
+    for a real event of that day. Whole runs are dealt into batches of about `BATCH_ROWS` rows, so that a task neither
+    starts Python work for each small run nor holds more than a few batches.
     """
     cell = ["customer_block", "product_block", "day"]
+    place = [*cell, "_run"]
     cv, pv = customer_vectors.select("customer_id", F.col("vector").alias("u")), product_vectors.select("product_id", F.col("vector").alias("v"))
     first = lambda c: F.coalesce(F.try_element_at(c, F.lit(1)), F.lit(0.0))
-    left = assigned.select(*cell, "slot", "customer_id").join(cv, "customer_id", "left")
-    if gates is not None:
-        left = left.withColumn("month", F.trunc("day", "month").cast("date")).join(gates, "month", "left")
-        left = left.withColumn("u", F.coalesce(F.zip_with("u", "weights", lambda a, b: a * b), "u")).drop("month", "weights")
-    right = assigned.select(*cell, F.col("slot").alias("_ps"), "product_id").join(pv, "product_id", "left")
-    left = ordered(left, cell, [first("u"), hashed_long("42c", "slot"), "slot"], rank="_r")
-    right = ordered(right, cell, [first("v"), hashed_long("42q", "_ps"), "_ps"], rank="_r").drop("_ps")
-    marked = materialize(left.join(right, [*cell, "_r"]).withColumn("_run", F.floor((F.col("_r") - 1) / run)).drop("_r"))
-    alone = marked.groupBy(*cell, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    marked = marked.join(alone, [*cell, "_run"])
-    single = marked.where(F.col("_n") == 1).select(*cell, "slot", "customer_id", "product_id")
-    many = marked.where(F.col("_n") > 1)
+
+    def gated(rows: DataFrame) -> DataFrame:
+        rows = rows.join(cv, "customer_id", "left")
+        if gates is None:
+            return rows
+        rows = rows.withColumn("month", F.trunc("day", "month").cast("date")).join(gates, "month", "left")
+        return rows.withColumn("u", F.coalesce(F.zip_with("u", "weights", lambda a, b: a * b), "u")).drop("month", "weights")
+
+    # only the first component takes part in the order; vectors join the pairs afterwards
+    left = gated(assigned.select(*cell, "slot", "customer_id")).select(*cell, "slot", "customer_id", first("u").alias("_o"))
+    right = assigned.select(*cell, F.col("slot").alias("_ps"), "product_id").join(pv, "product_id", "left").select(*cell, "_ps", "product_id", first("v").alias("_o"))
+    left = ordered(left, cell, ["_o", hashed_long("42c", "slot"), "slot"], rank="_r").drop("_o")
+    right = ordered(right, cell, ["_o", hashed_long("42q", "_ps"), "_ps"], rank="_r").drop("_ps", "_o")
+    rows = materialize(join_groups(left, right, [*cell, "_r"]).withColumn("_run", F.floor((F.col("_r") - 1) / run)).drop("_r"))
+    avoid = lambda name: F.coalesce(name, F.array().cast("array<long>")).alias(name)
+    many = gated(rows).join(pv, "product_id", "left")
     if real_pairs is not None:
         # real partners of the customers of a run that are present in the run
-        place = [*cell, "_run"]
-        known = real_pairs.select("customer_id", "product_id").distinct().join(many.select(*place, "customer_id").distinct(), "customer_id")
-        known = known.join(many.select(*place, "product_id").distinct(), [*place, "product_id"], "left_semi")
-        known = known.groupBy(*place, "customer_id").agg(F.collect_set("product_id").alias("known"))
-        many = many.join(known, [*place, "customer_id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
+        known = real_pairs.select("customer_id", "product_id").distinct().join(rows.select(*place, "product_id").distinct(), "product_id")
+        known = known.join(rows.select(*place, "customer_id").distinct(), [*place, "customer_id"], "left_semi")
+        many = many.join(known.groupBy(*place, "customer_id").agg(F.collect_set("product_id").alias("known")), [*place, "customer_id"], "left")
     else:
-        many = many.withColumn("known", F.array().cast("array<long>"))
+        many = many.withColumn("known", F.lit(None).cast("array<long>"))
     if real_events is not None:
         # a customer's real products of the cell's own day: as many as the customer bought that day
         today = real_events.select("customer_id", "day", "product_id").groupBy("customer_id", "day").agg(F.collect_set("product_id").alias("today"))
-        many = many.join(today, ["customer_id", "day"], "left").withColumn("today", F.coalesce("today", F.array().cast("array<long>")))
+        many = many.join(today, ["customer_id", "day"], "left")
     else:
-        many = many.withColumn("today", F.array().cast("array<long>"))
-    schema = "customer_block int, product_block int, day date, slot string, customer_id long, product_id long"
+        many = many.withColumn("today", F.lit(None).cast("array<long>"))
+    batches = max(1, rows.count() // BATCH_ROWS)
+    many = many.select(*place, "slot", "customer_id", "product_id", "u", "v", avoid("known"), avoid("today"), F.pmod(F.xxhash64(*place), F.lit(batches)).alias("_batch"))
+    kind = "customer_block int, product_block int, day date, slot string, customer_id long, product_id long"
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    def greedy(table: pa.Table) -> pa.Table:
+        return _greedy_runs(table, duplicate_penalty, real_penalty, event_penalty)
+
+    return many.groupBy("_batch").applyInArrow(greedy, kind)
+
+
+def _vectors(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """A row per vector, zeros for a missing one."""
+    column = column.combine_chunks()
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    out = np.zeros((rows, max(sizes.max(initial=0), 1)))
+    values = np.asarray(column.flatten().fill_null(0.0), dtype=np.float64)
+    at = np.repeat(np.arange(rows), sizes)
+    out[at, np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
 
-        pdf = pdf.sort_values("slot").reset_index(drop=True)
-        n = len(pdf)
-        width = max((len(v) for v in pdf["u"] if v is not None), default=1)
-        zero = np.zeros(width)
-        u = np.vstack([v if v is not None else zero for v in pdf["u"]])
-        v = np.vstack([w if w is not None else zero for w in pdf["v"]])
-        score = u @ v.T
-        products = pdf["product_id"].to_numpy()
-        if real_penalty:
-            score -= real_penalty * np.vstack([np.isin(products, k) for k in pdf["known"]])
-        for i, k in enumerate(pdf["today"]):
-            if len(k):
-                score[i] -= event_penalty * np.isin(products, k)
-        taken, choice, used = np.zeros(n, bool), np.empty(n, int), {}
-        for i in np.argsort(-score.max(axis=1), kind="stable"):
-            row = np.where(taken, -np.inf, score[i])
-            mine = used.setdefault(pdf.at[i, "customer_id"], {})
-            if mine and duplicate_penalty:
-                row = row - duplicate_penalty * np.log1p([mine.get(p, 0) for p in products])
-            j = int(np.argmax(row))
-            taken[j], choice[i] = True, j
-            mine[products[j]] = mine.get(products[j], 0) + 1
-        return pdf.assign(product_id=products[choice])[["customer_block", "product_block", "day", "slot", "customer_id", "product_id"]]
-
-    paired = many.select(*cell, "_run", "slot", "customer_id", "product_id", "u", "v", "known", "today").groupBy(*cell, "_run").applyInPandas(greedy, schema)
-    return single.unionByName(paired)
+
+def _greedy_runs(table: pa.Table, duplicate_penalty: float, real_penalty: float, event_penalty: float) -> pa.Table:
+    """Products dealt anew inside each run of the batch: rows by their best score, each takes the best product left."""
+    keys = ["customer_block", "product_block", "day", "_run"]
+    table = table.sort_by([(c, "ascending") for c in [*keys, "slot"]])
+    n = table.num_rows
+    u, v = _vectors(table["u"], n), _vectors(table["v"], n)
+    width = max(u.shape[1], v.shape[1])
+    u, v = np.pad(u, ((0, 0), (0, width - u.shape[1]))), np.pad(v, ((0, 0), (0, width - v.shape[1])))
+    new = np.zeros(n, dtype=bool)
+    for c in keys:
+        column = table[c].combine_chunks()
+        a, b = column.slice(1), column.slice(0, max(n - 1, 0))
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= np.asarray(differ)
+    starts = [0, *np.flatnonzero(new).tolist(), n]
+    customers, products = table["customer_id"].to_pylist(), table["product_id"].to_pylist()
+    penalties = [(table[c].to_pylist(), cost) for c, cost in (("known", real_penalty), ("today", event_penalty)) if cost]
+    chosen = list(products)
+    for lo, hi in zip(starts, starts[1:]):
+        size = hi - lo
+        if size < 2:
+            continue
+        score, here = u[lo:hi] @ v[lo:hi].T, products[lo:hi]
+        for lists, cost in penalties:
+            for i in range(size):
+                if lists[lo + i]:
+                    bad = set(lists[lo + i])
+                    score[i] -= [cost if p in bad else 0.0 for p in here]
+        repeated = len(set(customers[lo:hi])) < size
+        used: dict = {}
+        for i in np.argsort(-score.max(axis=1), kind="stable").tolist():
+            row = score[i]
+            if repeated:
+                mine = used.setdefault(customers[lo + i], {})
+                if mine and duplicate_penalty:
+                    row = row - duplicate_penalty * np.log1p([mine.get(p, 0) for p in here])
+            j = int(row.argmax())
+            score[:, j] = -np.inf
+            chosen[lo + i] = here[j]
+            if repeated:
+                mine[here[j]] = mine.get(here[j], 0) + 1
+    out = table.select(["customer_block", "product_block", "day", "slot", "customer_id"])
+    return out.append_column("product_id", pa.array(chosen, pa.int64()))
 
 
 def swap_away_overlaps(paired: DataFrame, real_events: DataFrame, by: Sequence[str], keys: Sequence[str], window: int = 500, seed: int = 42) -> DataFrame:
@@ -291,6 +332,118 @@ def swap_away_overlaps(paired: DataFrame, real_events: DataFrame, by: Sequence[s
             return out
 
 
+def spread_repeats(paired: DataFrame, by: Sequence[str], real_events: DataFrame | None = None, keys: Sequence[str] = ("day",), window: int = 500, seed: int = 42, patience: int = 3, goal: int = 0) -> DataFrame:
+    """Swap products inside cells so that fewer customers meet a product again, counted over all cells.
+
+    Work goes in rounds. In a round every customer takes part in one cell only, one where a pair of theirs is repeated if
+    there is any, so no two cells of a round share a customer: the pair counts that the last round left, read from the whole
+    table, hold while cells are worked on side by side, and each swap that lowers the sum over its pairs lowers the total. A
+    swap may not add a real event (`real_events` by `keys`). Rounds end when no more than `goal` rows repeat a pair or
+    `patience` rounds brought no less; every exact count of the spine stays.
+
+    Large cells are cut into windows of about `window` rows by customer, whole windows are dealt into batches; a customer
+    with more rows in one cell than that is cut too.
+    """
+    by, keys = list(by), list(keys)
+    out = materialize(paired)
+    best, least, since, r = out, None, 0, 0
+    while True:
+        pairs = materialize(out.groupBy("customer_id", "product_id").agg(F.count(F.lit(1)).alias("n")))
+        excess = repeated_pairs(pairs)
+        if least is None or excess < least:
+            best, least, since = out, excess, 0
+        else:
+            since += 1
+        if least <= goal or since >= patience:
+            return best
+        out = materialize(_spread_once(out, pairs, by, real_events, keys, window, f"{seed}x{r}"))
+        r += 1
+
+
+def repeated_pairs(pairs: DataFrame) -> int:
+    """Rows beyond the first of their pair, from (customer_id, product_id, n)."""
+    return pairs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+
+
+def _spread_once(rows: DataFrame, pairs: DataFrame, by: list[str], real_events: DataFrame | None, keys: list[str], window: int, seed: str) -> DataFrame:
+    draw = hashed_long(f"{seed}c", "customer_id", *by)
+    one_cell = lambda df: df.groupBy("customer_id").agg(F.max_by(F.struct(*by), draw).alias("_c")).select("customer_id", "_c.*")
+    own = materialize(one_cell(rows.join(pairs.where("n > 1"), ["customer_id", "product_id"], "left_semi")))
+    active = rows.join(own.select(*by).distinct(), by, "left_semi")
+    others = one_cell(active.join(own.select("customer_id"), "customer_id", "left_anti"))
+    part = active.join(own.unionByName(others), ["customer_id", *by], "left_semi")
+    many = part.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = part.groupBy(*by, "customer_id").agg(F.count(F.lit(1)).alias("_mine")).where(F.col("_mine") > window)
+    part = part.join(many, by).join(heavy, [*by, "customer_id"], "left")
+    spread = F.when(F.col("_mine").isNotNull(), hashed_long(f"{seed}r", "slot")).otherwise(hashed_long(f"{seed}w", "customer_id"))
+    part = materialize(part.withColumn("_w", F.pmod(spread, F.ceil(F.col("_n") / window))).drop("_n", "_mine"))
+    place = [*by, "_w"]
+    products = part.select(*place, "product_id").distinct()
+    mine = part.select(*place, "customer_id").distinct()
+    known = pairs.join(mine, "customer_id").join(products, [*place, "product_id"], "left_semi")
+    known = known.groupBy(*place, "customer_id").agg(F.collect_list(F.struct("product_id", "n")).alias("_known"))
+    known = known.select(*place, "customer_id", F.col("_known.product_id").alias("known"), F.col("_known.n").alias("counts"))
+    work = part.join(known, [*place, "customer_id"])
+    if real_events is not None:
+        taken = part.select(*place, "customer_id", *[k for k in keys if k not in place]).distinct()
+        real = real_events.select("customer_id", "product_id", *keys).distinct().join(taken, ["customer_id", *keys]).join(products, [*place, "product_id"], "left_semi")
+        real = real.groupBy(*place, "customer_id").agg(F.collect_set("product_id").alias("real"))
+        work = work.join(real, [*place, "customer_id"], "left")
+    else:
+        work = work.withColumn("real", F.lit(None).cast("array<long>"))
+    batches = max(1, part.count() // BATCH_ROWS)
+    work = work.select(F.md5(F.concat_ws("|", *place)).alias("group"), hashed_long(f"{seed}o", "slot").alias("turn"), "slot", "customer_id", "product_id", "known", "counts", "real")
+    moved = work.withColumn("_batch", F.pmod(F.xxhash64("group"), F.lit(batches))).groupBy("_batch").applyInArrow(_spread_groups, "slot string, moved long")
+    return rows.join(moved, "slot", "left").withColumn("product_id", F.coalesce("moved", "product_id")).select(*rows.columns)
+
+
+def _spread_groups(table: pa.Table) -> pa.Table:
+    """(slot, moved): products that changed places; each group of the batch is searched by itself."""
+    table = table.sort_by([("group", "ascending"), ("turn", "ascending"), ("slot", "ascending")])
+    group, customer, product = (table[c].to_pylist() for c in ("group", "customer_id", "product_id"))
+    known, counts, real = (table[c].to_pylist() for c in ("known", "counts", "real"))
+    before = list(product)
+    ends = [i for i in range(1, len(group)) if group[i] != group[i - 1]]
+    for lo, hi in zip([0, *ends], [*ends, len(group)]):
+        n: dict[tuple, int] = {}
+        taboo: set[tuple] = set()
+        for i in range(lo, hi):
+            c = customer[i]
+            n.update(((c, p), k) for p, k in zip(known[i], counts[i]))
+            taboo.update((c, p) for p in real[i] or ())
+        for i in range(lo, hi):
+            a, p = customer[i], product[i]
+            if n[a, p] < 2:
+                continue
+            for j in (*range(i + 1, hi), *range(lo, i)):
+                b, q = customer[j], product[j]
+                if a == b or p == q or (a, q) in taboo and (a, p) not in taboo or (b, p) in taboo and (b, q) not in taboo:
+                    continue
+                if (n.get((a, q), 0) > 0) + (n.get((b, p), 0) > 0) < 1 + (n[b, q] > 1):
+                    for x in ((a, p), (b, q)):
+                        n[x] -= 1
+                    for x in ((a, q), (b, p)):
+                        n[x] = n.get(x, 0) + 1
+                    product[i], product[j] = q, p
+                    break
+    keep = [i for i in range(len(product)) if product[i] != before[i]]
+    return pa.table({"slot": table["slot"].take(pa.array(keep, pa.int64())), "moved": pa.array([product[i] for i in keep], pa.int64())})
+
+
+def overlap_report(stages: Mapping[str, DataFrame], real_events: DataFrame, keys: Sequence[str] = ("day",)) -> DataFrame:
+    """(stage, rows, repeated_events, repeated_edges, repeated_pairs): what each stage of a repair left.
+
+    Rows that repeat a real event, rows on a real edge, and rows beyond the first of their own customer and product.
+    """
+    out = None
+    for name, rows in stages.items():
+        rows = materialize(rows)
+        n = rows.groupBy("customer_id", "product_id").agg((F.count(F.lit(1)) - 1).alias("again")).agg(F.coalesce(F.sum("again"), F.lit(0)).alias("repeated_pairs"), F.lit(rows.count()).cast("long").alias("rows"))
+        line = n.select(F.lit(name).alias("stage"), "rows", F.lit(repeats(rows, real_events, keys)).cast("long").alias("repeated_events"), F.lit(repeats(rows, real_events, [])).cast("long").alias("repeated_edges"), "repeated_pairs")
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 def repeats(paired: DataFrame, real_events: DataFrame, keys: Sequence[str]) -> int:
     """Synthetic rows that repeat a real event (or a real edge, without keys)."""
     same = ["customer_id", "product_id", *keys]
@@ -340,8 +493,9 @@ def _swapped_once(paired: DataFrame, real_events: DataFrame, by: Sequence[str],
 
 
 def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_blocks: DataFrame, key: str, mode: str = "mixture", pairing: str = "time_gated",
-                        vectors: tuple[DataFrame, DataFrame] | None = None, seed: int = 42, repair: bool = True) -> DataFrame:
-    """The main generator: cells to slots, stubs to slots by time on both sides, pairing in cells, repair of repeated real events.
+                        vectors: tuple[DataFrame, DataFrame] | None = None, seed: int = 42, repair: bool = True, spread: bool = True) -> DataFrame:
+    """The main generator: cells to slots, stubs to slots by time on both sides, pairing in cells, fewer repeated pairs over all
+    cells (`spread`, not for random pairing), repair of repeated real events.
 
     Keeps exactly: both degree sequences, events per day, and events per (customer block, product block, day).
     `pairing` inside a cell: time_gated (affinity weighted by month, with penalties for repeated pairs and real events;
@@ -373,7 +527,10 @@ def block_stub_matching(events: DataFrame, customer_blocks: DataFrame, product_b
             pv.select("product_id", F.element_at("vector", 1).alias("_pv")), "product_id", "left")
         paired = pair_by_projection(scored, F.coalesce("_cs", F.lit(0.0)), F.coalesce("_pv", F.lit(0.0)), seed)
     else:
-        paired = placed  # hash order inside a cell is already a random pairing
+        paired, spread = placed, False  # hash order inside a cell is already a random pairing
+    if spread:  # until no more pairs are repeated than in the real table
+        goal = repeated_pairs(base.groupBy("customer_id", "product_id").agg(F.count(F.lit(1)).alias("n")))
+        paired = spread_repeats(paired.select("slot", "customer_id", "product_id", "day", "customer_block", "product_block"), ["customer_block", "product_block", "day"], base, seed=seed, goal=goal)
     if repair:
         paired = swap_away_overlaps(paired, base, ["customer_block", "product_block", "day"], ["day"], seed=seed)
     return materialize(paired.select("slot", "customer_id", "product_id", "day", "customer_block", "product_block"))
@@ -392,6 +549,20 @@ def exact_constraints(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     return out
 
 
+EXACT_COUNTS = {"customer_degrees": ["customer_id", "customer_block"], "product_degrees": ["product_id", "product_block"], "daily_counts": ["day"],
+                "block_pair_counts": ["customer_block", "product_block"], "cell_counts": ["customer_block", "product_block", "day"]}
+
+
+def exact_counts(events: DataFrame, names: Sequence[str] = tuple(EXACT_COUNTS)) -> DataFrame:
+    """(constraint, key, n): the counts that a generated spine shares with its source, the key's parts joined by a bar."""
+    out = None
+    for name in names:
+        keys = EXACT_COUNTS[name]
+        c = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("constraint"), F.concat_ws("|", *keys).alias("key"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def require_exact(report: DataFrame) -> DataFrame:
     """The report as a finished table; a broken constraint raises."""
     lines = report.collect()  # one line per constraint
@@ -486,12 +657,23 @@ def affinity_vectors(pairs: DataFrame, rank: int = 8, seed: int = 42) -> tuple[D
     from pyspark.ml.recommendation import ALS
 
     data = pairs.groupBy("customer_id", "product_id").agg(F.log1p(F.count(F.lit(1))).cast("float").alias("w"))
-    data = materialize(data.withColumns({c: F.col(c).cast("int") for c in ("customer_id", "product_id")}))
+    data = materialize(data)
+    names = ("customer_id", "product_id")
+    numbers: dict[str, DataFrame] = {}
+    for c in names:  # the model knows whole numbers below 2^31 only
+        kind = dict(data.dtypes)[c]
+        if kind not in ("tinyint", "smallint", "int") and (kind != "bigint" or not data.where(~F.col(c).between(-(2**31), 2**31 - 1)).isEmpty()):
+            numbers[c] = materialize(numbered(data.select(c).where(F.col(c).isNotNull()).distinct(), [c], "_n"))
+            data = data.join(numbers[c], c).drop(c).withColumnRenamed("_n", c)
+    data = materialize(data.withColumns({c: F.col(c).cast("int") for c in names}))
     m = ALS(rank=rank, maxIter=5, implicitPrefs=True, userCol="customer_id", itemCol="product_id", ratingCol="w", seed=seed, regParam=0.05).fit(data)
 
     def unit(f: DataFrame, name: str) -> DataFrame:
+        f = f.select(F.col("id").cast("long").alias(name), "features")
+        if name in numbers:
+            f = f.withColumnRenamed(name, "_n").join(numbers[name], "_n").drop("_n")
         v = F.transform("features", lambda x: x.cast("double"))
-        return materialize(f.select(F.col("id").cast("long").alias(name), v.alias("r"), norm(v).alias("l")).select(
+        return materialize(f.select(name, v.alias("r"), norm(v).alias("l")).select(
             name, F.transform("r", lambda x: x / F.greatest(F.col("l"), F.lit(1e-12))).alias("vector")))
 
     return unit(m.userFactors, "customer_id"), unit(m.itemFactors, "product_id")

@@ -4,6 +4,8 @@ import itertools
 import random
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from chronoweave.operators import event_auction as ea
 from chronoweave.operators import quota_filling as qf
 from chronoweave.operators import spine_generation as sg
@@ -116,3 +118,48 @@ def test_rank_joins_keep_rows_with_null_groups(spark):
     draws = spark.createDataFrame([(None, "k", 0.9), (5, "l", 0.1)], "b int, key string, u double")
     weights = spark.createDataFrame([(None, 1, 1), (None, 2, 1), (5, 3, 1)], "b int, item int, w int")
     assert sorted((r["key"], r["item"]) for r in sg.pick_by_weight(draws, "u", weights, "w", ["item"], ["b"], ["item"]).collect()) == [("k", 2), ("l", 3)]
+
+
+def test_repeats_are_spread_over_all_cells(spark):
+    rng = random.Random(4)
+    rows = [(f"s{i}", rng.randrange(12), rng.randrange(10), rng.randrange(2), 0, rng.randrange(6)) for i in range(150)]
+    rows += [(f"h{i}", 99, rng.randrange(10), 0, 0, rng.randrange(6)) for i in range(8)]
+    df = spark.createDataFrame(rows, "slot string, customer_id long, product_id long, customer_block int, product_block int, day int")
+    real = spark.createDataFrame([(c, p, d) for c in range(12) for p in range(3) for d in range(6)], "customer_id long, product_id long, day int")
+    cell = ["customer_block", "product_block", "day"]
+    for window in (500, 4):
+        out = sg.spread_repeats(df, cell, real, ["day"], window=window)
+        before, after = ([tuple(r) for r in x.select("slot", "customer_id", "product_id", *cell).collect()] for x in (df, out))
+        side = lambda rows, k: sorted((r[k], *r[3:]) for r in rows)
+        assert sorted((r[0], r[1], *r[3:]) for r in before) == sorted((r[0], r[1], *r[3:]) for r in after)
+        assert side(before, 2) == side(after, 2)
+        again = lambda rows: len(rows) - len({(r[1], r[2]) for r in rows})
+        events = lambda rows: sum(r[1] < 12 and r[2] < 3 for r in rows)
+        assert again(after) < again(before) and events(after) <= events(before)
+        lines = {r["stage"]: r for r in sg.overlap_report({"a": df, "b": out}, real).collect()}
+        assert (lines["a"]["repeated_pairs"], lines["b"]["repeated_pairs"]) == (again(before), again(after)) and lines["b"]["rows"] == 158
+        assert (lines["a"]["repeated_events"], lines["b"]["repeated_events"]) == (events(before), events(after))
+    same = sg.spread_repeats(df, cell, goal=1_000)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, df.collect()))
+    assert sg.spread_repeats(df.limit(0), cell).count() == 0
+
+
+def test_greedy_runs_take_the_best_product_left(spark):
+    """Batches of many small runs give what each run gives alone."""
+    rng = random.Random(5)
+    vector = lambda: [round(rng.uniform(-1, 1), 3) for _ in range(3)]
+    cv, pv = ({i: vector() for i in range(9)} for _ in range(2))
+    rows = [(f"s{i:03d}", rng.randrange(10), rng.randrange(10), rng.choice([None, 1]), 0, rng.randrange(12)) for i in range(120)]
+    df = spark.createDataFrame(rows, "slot string, customer_id long, product_id long, customer_block int, product_block int, day int").withColumn("day", F.date_add(F.lit("2024-01-01"), F.col("day")))
+    tables = [spark.createDataFrame(list(v.items()), f"{n} long, vector array<double>") for v, n in ((cv, "customer_id"), (pv, "product_id"))]
+    got = sg.pair_greedily(df, *tables).collect()
+    assert len(got) == 120
+    side = lambda rows, name: sorted((r[name], str(r["customer_block"]), r["product_block"], r["day"]) for r in rows)
+    assert all(side(got, n) == side(df.collect(), n) for n in ("slot", "customer_id", "product_id"))
+    zero, score = [0.0] * 3, lambda c, p: sum(a * b for a, b in zip(cv.get(c, zero), pv.get(p, zero)))
+    cells = {}
+    for r in got:
+        cells.setdefault((r["customer_block"], r["day"]), []).append((r["customer_id"], r["product_id"]))
+    for pairs in cells.values():
+        if len({c for c, _ in pairs}) == len(pairs):  # without repeats the best pair of the cell is always taken
+            assert max(score(c, p) for c, p in pairs) >= max(score(c, p) for c, _ in pairs for _, p in pairs) - 1e-9
