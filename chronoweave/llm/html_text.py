@@ -1,8 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' features.
 
 A page becomes a row of blocks (text between block-level tags). Each block has a word count and a link density, those
-of the blocks before and after it, and whether its containers name it page furniture or article. The tree is trained on
-the small labelled table below.
+of the blocks before and after it, whether its containers name it page furniture or article, and the length of the page's
+longest plain block (a page of short sentences is judged by another measure). The tree is trained on the small labelled
+table below.
+
+A container that is named furniture but wraps the page's only article (most of its words, every heading and everything
+marked as article) is no furniture: a form around a whole page, a wrapper with a telling class.
 """
 
 from __future__ import annotations
@@ -19,73 +23,93 @@ from pyspark.sql import types as T
 
 from chronoweave.llm.common import bounded_batches, query, table, whole_text
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
-#: Labelled blocks: the eight features, then 1 for main text. Counts in words, densities as the share of words in links.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "longest")
+#: Labelled blocks: the nine features, then 1 for main text. Counts in words, densities as the share of words in links.
 LABELLED = """
-220 .00  95 .02 180 .00 0 1 1
- 64 .03 120 .00  40 .05 0 1 1
-  9 .00   0 .00  80 .00 0 1 1
-  1 .00  60 .00  90 .00 0 1 1
-  2 .00   3 .00   1 .00 0 1 1
- 14 .50  70 .00  66 .00 0 1 1
-  4 1.0  50 .00  48 .00 0 1 1
- 31 .06   6 1.0  22 .00 0 1 1
- 12 .00   8 .00   7 1.0 0 1 1
-  6 .00  40 .00   0 .00 0 1 1
-150 .01   0 .00   0 .00 0 1 1
-  3 .00   1 1.0   4 .00 0 1 1
-  1 .00   1 1.0   1 1.0 0 1 1
-  6 .00   4 1.0   3 1.0 0 1 1
-  2 1.0   1 1.0   1 1.0 0 1 1
-  5 .00   0 .00   2 .00 0 1 1
-  3 .30   2 1.0   9 .90 0 1 1
-  8 .80   5 1.0   2 .00 0 1 1
- 10 .00   3 .50   1 1.0 0 1 1
-  4 .00   6 .80   5 .60 0 1 1
-  7 .00   1 .00   0 .00 0 1 1
- 24 .00   9 .90   3 .00 0 1 1
-  2 .00   0 .00   6 1.0 0 1 1
- 17 .60   3 .00   2 .00 0 1 1
- 85 .02  60 .00  70 .01 0 0 1
- 40 .00  55 .00  62 .00 0 0 1
- 27 .00  33 .00  20 .10 0 0 1
- 18 .00  90 .00  75 .00 0 0 1
-120 .10   5 .00   4 1.0 0 0 1
- 70 .00   2 1.0   3 1.0 0 0 1
-  8 .00  60 .00  85 .00 0 0 1
- 11 .00  45 .00  50 .00 0 0 1
- 55 .20 130 .00  90 .00 0 0 1
- 35 .00   3 .00  64 .00 0 0 1
-240 .00   0 .00   0 .00 0 0 1
- 48 .05   9 .00   0 .00 0 0 1
-  1 1.0   1 1.0   1 1.0 0 0 0
-  2 1.0   1 1.0   3 1.0 0 0 0
-  5 .80   4 1.0   2 .50 0 0 0
-  3 .00   2 1.0   2 1.0 0 0 0
-  6 .00   1 1.0   5 .00 0 0 0
-  4 .00   0 .00   3 1.0 0 0 0
-  9 .00   3 .00   2 .00 0 0 0
-  7 .00   5 1.0   0 .00 0 0 0
- 30 .90   4 .50  12 .70 0 0 0
- 60 .80   8 .00  40 .90 0 0 0
- 12 .60  15 .70   9 .50 0 0 0
-  8 .10   6 .30   4 .00 0 0 0
-  1 1.0   1 1.0   1 1.0 1 0 0
-  2 .00   9 1.0   7 .00 1 0 0
-  8 .00   1 1.0   9 .00 1 0 0
- 25 .00   2 1.0  60 .00 1 0 0
- 45 .00  40 .00  30 .00 1 0 0
-140 .02  70 .00  90 .00 1 0 0
- 90 .00 110 .00   6 .00 1 0 0
- 33 .15  80 .00   0 .00 1 0 0
- 12 .40 200 .00   5 .00 1 0 0
-  4 .00   2 .00   3 .00 1 0 0
- 75 .00  95 .00  62 .00 1 1 0
-  5 .00  80 .00  70 .00 1 1 0
- 18 .00  64 .00  18 .00 1 1 0
-  2 1.0   2 1.0   2 1.0 1 1 0
- 38 .00   3 .00  41 .00 1 1 0
-160 .00 120 .00  10 .00 1 1 0
+220 .00  95 .02 180 .00 0 1 220 1
+ 64 .03 120 .00  40 .05 0 1 120 1
+  9 .00   0 .00  80 .00 0 1  80 1
+  1 .00  60 .00  90 .00 0 1  90 1
+  2 .00   3 .00   1 .00 0 1  60 1
+ 14 .50  70 .00  66 .00 0 1  70 1
+  4 1.0  50 .00  48 .00 0 1  60 1
+ 31 .06   6 1.0  22 .00 0 1  60 1
+ 12 .00   8 .00   7 1.0 0 1  60 1
+  6 .00  40 .00   0 .00 0 1  60 1
+150 .01   0 .00   0 .00 0 1 150 1
+  3 .00   1 1.0   4 .00 0 1  60 1
+  1 .00   1 1.0   1 1.0 0 1  60 1
+  6 .00   4 1.0   3 1.0 0 1  60 1
+  2 1.0   1 1.0   1 1.0 0 1  60 1
+  5 .00   0 .00   2 .00 0 1  60 1
+  3 .30   2 1.0   9 .90 0 1  60 1
+  8 .80   5 1.0   2 .00 0 1  60 1
+ 10 .00   3 .50   1 1.0 0 1  60 1
+  4 .00   6 .80   5 .60 0 1  60 1
+  7 .00   1 .00   0 .00 0 1  60 1
+ 24 .00   9 .90   3 .00 0 1  60 1
+  2 .00   0 .00   6 1.0 0 1  60 1
+ 17 .60   3 .00   2 .00 0 1  60 1
+ 85 .02  60 .00  70 .01 0 0  85 1
+ 40 .00  55 .00  62 .00 0 0  62 1
+ 27 .00  33 .00  20 .10 0 0  60 1
+ 18 .00  90 .00  75 .00 0 0  90 1
+120 .10   5 .00   4 1.0 0 0 120 1
+ 70 .00   2 1.0   3 1.0 0 0  70 1
+  8 .00  60 .00  85 .00 0 0  85 1
+ 11 .00  45 .00  50 .00 0 0  60 1
+ 55 .20 130 .00  90 .00 0 0 130 1
+ 35 .00   3 .00  64 .00 0 0  64 1
+240 .00   0 .00   0 .00 0 0 240 1
+ 48 .05   9 .00   0 .00 0 0  60 1
+  1 1.0   1 1.0   1 1.0 0 0  60 0
+  2 1.0   1 1.0   3 1.0 0 0  60 0
+  5 .80   4 1.0   2 .50 0 0  60 0
+  3 .00   2 1.0   2 1.0 0 0  60 0
+  6 .00   1 1.0   5 .00 0 0  60 0
+  4 .00   0 .00   3 1.0 0 0  60 0
+  9 .00   3 .00   2 .00 0 0  60 0
+  7 .00   5 1.0   0 .00 0 0  60 0
+ 30 .90   4 .50  12 .70 0 0  60 0
+ 60 .80   8 .00  40 .90 0 0  60 0
+ 12 .60  15 .70   9 .50 0 0  60 0
+  8 .10   6 .30   4 .00 0 0  60 0
+  1 1.0   1 1.0   1 1.0 1 0  60 0
+  2 .00   9 1.0   7 .00 1 0  60 0
+  8 .00   1 1.0   9 .00 1 0  60 0
+ 25 .00   2 1.0  60 .00 1 0  60 0
+ 45 .00  40 .00  30 .00 1 0  60 0
+140 .02  70 .00  90 .00 1 0 140 0
+ 90 .00 110 .00   6 .00 1 0 110 0
+ 33 .15  80 .00   0 .00 1 0  80 0
+ 12 .40 200 .00   5 .00 1 0 200 0
+  4 .00   2 .00   3 .00 1 0  60 0
+ 75 .00  95 .00  62 .00 1 1  95 0
+  5 .00  80 .00  70 .00 1 1  80 0
+ 18 .00  64 .00  18 .00 1 1  64 0
+  2 1.0   2 1.0   2 1.0 1 1  60 0
+ 38 .00   3 .00  41 .00 1 1  60 0
+160 .00 120 .00  10 .00 1 1 160 0
+  2 .00   0 .00   6 .00 0 0   6 1
+  6 .00   2 .00   0 .00 0 0   6 1
+  3 .00   0 .00   0 .00 0 0   3 1
+  9 .00   4 .00   7 .00 0 0  11 1
+ 12 .00   3 .00   9 .00 0 0  12 1
+  7 .00   9 .00   5 .00 0 0  10 1
+  4 .00   3 1.0   8 .00 0 0   9 1
+  8 .00   5 .00   4 1.0 0 0   9 1
+  1 1.0   1 1.0   6 .00 0 0   8 0
+  2 1.0   6 .00   0 .00 0 0   8 0
+  5 .80   4 .00   2 1.0 0 0   9 0
+  4 .00   6 .00   0 .00 1 0   7 0
+  6 .00   0 .00   3 .00 1 0   9 0
+  1 .00   5 1.0  45 .00 0 0  60 1
+  6 .00   5 1.0  40 .00 0 0  60 1
+  4 .00   0 .00  70 .00 0 0  90 1
+  3 .00   0 .00  12 1.0 0 0  80 0
+  5 .00   6 1.0  14 .90 0 0 120 0
+  2 .00   0 .00   7 1.0 0 0  90 0
+  6 .00   0 .00   9 .80 0 0 150 0
 """
 
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -109,7 +133,9 @@ _DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?
 _CLOSE = {name: re.compile(rf"</{name}\s*+>", re.I) for name in DROPPED.split()}
 _OPTION = re.compile(r"<(?:(/option)\s*+>|/?(?:option|optgroup|select|datalist)(?=[\s/>]))", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|itemprop)\b\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=\"']++|[=\"'])(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+#: A name with one of these parts tells of a state or a subject of the page, not what the container is.
+QUALIFIERS = frozenset("has no not non with without hide category cat tag topic term status format open opened closed enabled disabled layout type single page site body wrap wrapper".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -120,6 +146,18 @@ class Block:
     linked: int
     furniture: bool
     article: bool
+    container: int = 0
+
+
+def _names(value: str) -> tuple[set[str], set[str]]:
+    """(parts of all names, parts of the names without a qualifier) of a class or id."""
+    every, plain = set(), set()
+    for name in value.split():
+        parts = {t.lower() for t in _TOKEN.findall(name)}
+        every |= parts
+        if not parts & QUALIFIERS:
+            plain |= parts
+    return every, plain
 
 
 def _role(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
@@ -129,10 +167,10 @@ def _role(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                tokens = {t.lower() for t in _TOKEN.findall(value)}
+                every, plain = _names(value)
                 if name not in WHOLE_PAGE:
-                    furniture = furniture or bool(tokens & FURNITURE_NAMES) or any(t.startswith(FURNITURE_STEMS) for t in tokens - FURNITURE_NOT)
-                article = article or bool(tokens & ARTICLE_NAMES)
+                    furniture = furniture or bool(plain & FURNITURE_NAMES) or any(t.startswith(FURNITURE_STEMS) for t in plain - FURNITURE_NOT)
+                article = article or bool(every & ARTICLE_NAMES)
             elif key == "role":
                 furniture = furniture or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form")
                 article = article or value.lower() in ("main", "article")
@@ -176,9 +214,11 @@ def blocks(page: str) -> list[Block]:
     """Text blocks in page order; markup that is never closed ends with the page."""
     page = _without_dropped(page) if "<" in page else page
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, furniture, article (both inherited)
+    # containers in the order they open: parent, furniture by itself, article (inherited), headings directly inside
+    parent, named, inside, heads = [0], [False], [False], [0]
+    stack: list[tuple[str, int]] = []  # open containers: tag, number
     parts: list[str] = []
-    furniture = article = False
+    here = 0
     own: tuple[bool, bool] | None = None  # of a paragraph-like tag with a telling name
     anchors, linked, at = 0, 0, 0
 
@@ -187,7 +227,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             f, a = own or (False, False)
-            out.append(Block(text, len(text.split()), linked, furniture or f, article or a))
+            out.append(Block(text, len(text.split()), linked, f, inside[here] or a, here))
         parts.clear()
         linked = 0
 
@@ -209,28 +249,56 @@ def blocks(page: str) -> list[Block]:
         own = None
         if name in CONTAINERS:
             if not end:
-                f, a = _role(name, attributes, article)
-                furniture, article = furniture or f, article or a
-                stack.append((name, furniture, article))
+                f, a = _role(name, attributes, inside[here])
+                parent.append(here)
+                named.append(f)
+                inside.append(inside[here] or a)
+                heads.append(0)
+                here = len(parent) - 1
+                stack.append((name, here))
             elif any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
                     pass
-                furniture, article = stack[-1][1:] if stack else (False, False)
-        elif not end and attributes:
-            own = _role(name, attributes, article)
+                here = stack[-1][1] if stack else 0
+        elif not end:
+            heads[here] += name == "h1"
+            if attributes:
+                own = _role(name, attributes, inside[here])
     if at < len(page):
         parts.append(page[at:])
     close()
+    _mark_furniture(out, parent, named, heads)
     return out
 
 
+def _mark_furniture(found: list[Block], parent: list[int], named: list[bool], heads: list[int]) -> None:
+    """Blocks inside a furniture container become furniture, unless that container wraps the page's only article."""
+    n = len(parent)
+    words, articles = [0] * n, [0] * n  # unlinked words in and below each container; those marked as article
+    for b in found:
+        plain = max(b.words - b.linked, 0)
+        words[b.container] += plain
+        articles[b.container] += plain if b.article else 0
+    for c in range(n - 1, 0, -1):  # a container opens after its parent
+        for total in (words, articles, heads):
+            total[parent[c]] += total[c]
+    inside = [False] * n
+    for c in range(1, n):
+        whole = articles[c] == articles[0] and heads[c] == heads[0]
+        wraps = whole and (2 * words[c] >= words[0] and (heads[c] > 0 or articles[c] > 0) or 10 * words[c] >= 9 * words[0] and words[c] >= 40)
+        inside[c] = inside[parent[c]] or named[c] and not wraps
+    for b in found:
+        b.furniture = b.furniture or inside[b.container]
+
+
 def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([b.words for b in found], dtype=float)
     links = np.array([min(1.0, b.linked / b.words) for b in found], dtype=float)
     shifted = lambda v, k: np.concatenate([np.zeros(1), v[:-1]]) if k < 0 else np.concatenate([v[1:], np.zeros(1)])
     flags = np.array([[b.furniture, b.article] for b in found], dtype=float).reshape(n, 2)
-    return np.column_stack([words, links, shifted(words, -1), shifted(links, -1), shifted(words, 1), shifted(links, 1), flags])
+    longest = max((b.words for b in found if not b.furniture and 3 * b.linked <= b.words), default=0)
+    return np.column_stack([words, links, shifted(words, -1), shifted(links, -1), shifted(words, 1), shifted(links, 1), flags, np.full(n, longest)])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
