@@ -7,10 +7,12 @@ pseudonyms in every document, different values different ones, and a pseudonym p
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import query, table
+from chronoweave.llm.common import fresh_name, query, table
 
 ROUNDS = 8
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -149,8 +151,25 @@ def _ipv4(m: Column, key: Column) -> Column:
     return bind(F.split(m, r"\."), run)
 
 
+def _late_days() -> list[int]:
+    """Days from the 13th on before each month of a run of 28 years."""
+    out, total = [], 0
+    for year in range(1901, 1929):
+        for month in range(1, 13):
+            out.append(total)
+            total += monthrange(year, month)[1] - 12
+    return out
+
+
+LATE_DAYS = _late_days()
+
+
 def _date(m: Column, key: Column) -> Column:
-    """Days move inside their run of 28 years, 1901 to 2096 (10,227 = 21 x 487 days each); other years do not count as dates."""
+    """Days move inside their run of 28 years, 1901 to 2096 (10,227 = 21 x 487 days each); other years do not count as dates.
+
+    A date with slashes is read month first where it can be. One that can only be read day first moves among those (the
+    6,195 = 105 x 59 days of a run from the 13th of a month on), so that two written dates never get one pseudonym.
+    """
     d = only_digits(m)
     part = lambda at, n: F.substring(d, at, n)
     year_first = F.rlike(m, F.lit("^[0-9]{4}"))
@@ -168,9 +187,26 @@ def _date(m: Column, key: Column) -> Column:
         moved = feistel(F.floor(index / right), F.pmod(index, right), left, right, key, "date")
         return bind(moved, lambda p: F.date_add(F.lit("1901-01-01").cast("date"), (block * size + p["l"] * right + p["r"]).cast("int")))
 
+    only_day_first = ~year_first & ~dotted & month_first.isNull() & day_first.isNotNull()
+
+    def move_late(t: Column) -> Column:
+        starts = F.array(*[F.lit(v) for v in LATE_DAYS])
+        years = F.year(t) - 1901
+        month = (years % 28) * 12 + F.month(t) - 1
+        index = F.element_at(starts, month + 1) + F.dayofmonth(t) - 13
+        moved = bind(feistel(F.floor(index / 59), index % 59, F.lit(105), F.lit(59), key, "late"), lambda p: (p["l"] * 59 + p["r"]).cast("int"))
+
+        def written(v: Column) -> Column:
+            at = F.size(F.filter(starts, lambda x: x <= v)).cast("int")  # months from 1
+            pad = lambda c, n: F.lpad(c.cast("string"), n, F.lit("0"))
+            year = 1901 + 28 * F.floor(years / 28) + F.floor((at - 1) / 12)
+            return F.concat(pad(v - F.element_at(starts, at) + 13, 2), pad((at - 1) % 12 + 1, 2), pad(year, 4))
+
+        return bind(moved, written)
+
     text = lambda t: F.when(order == "yyyyMMdd", F.date_format(t, "yyyyMMdd")).when(order == "MMddyyyy", F.date_format(t, "MMddyyyy")).otherwise(F.date_format(t, "ddMMyyyy"))
     known = order.isNotNull() & F.year(day).between(1901, 2096)
-    return F.when(known, bind(move(day), lambda t: laid_out(m, text(t))))
+    return F.when(known & only_day_first, laid_out(m, move_late(day))).when(known, bind(move(day), lambda t: laid_out(m, text(t))))
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -183,9 +219,15 @@ def _ssn(m: Column, key: Column) -> Column:
     return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new)
 
 
+#: Fixed values of the international numbering plan: codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: Column) -> Column:
-    """The country code stays, the rest of the number is permuted; 7 to 15 digits in all."""
-    code = F.coalesce(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1), F.lit(""))
+    """The country code stays, the rest of the number is permuted; 7 to 15 digits in all. Where nothing separates the code
+    from the rest, it has as many digits as the numbering plan gives it."""
+    apart, plan = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1), F.regexp_extract(m, COUNTRY_CODE, 1)
+    code = F.when(apart != "", apart).otherwise(plan)
 
     def run(d: Column) -> Column:
         rest = F.substr(d, F.length(code) + 1, F.length(d))
@@ -219,16 +261,17 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", counts: str = "pii
     pseudonym everywhere under one key. A column named `counts` is replaced; other columns pass through.
     """
     t, k = F.col(text), F.lit(key)
-    given = df.withColumn("_hit", F.coalesce(F.rlike(t, F.lit(HINT)) & F.rlike(t, F.lit(ANY)), F.lit(False)))
-    found = given.withColumn("_made", F.when(F.col("_hit"), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), pseudonym(m, k).alias("now")))))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("_made"), lambda gap, m: F.concat(gap, F.coalesce(m["now"]["value"], m["was"], F.lit(""))))
+    hit, made = fresh_name(df, "hit"), fresh_name(df, "made")
+    given = df.withColumn(hit, F.coalesce(F.rlike(t, F.lit(HINT)) & F.rlike(t, F.lit(ANY)), F.lit(False)))
+    found = given.withColumn(made, F.when(F.col(hit), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("was"), pseudonym(m, k).alias("now")))))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col(made), lambda gap, m: F.concat(gap, F.coalesce(m["now"]["value"], m["was"], F.lit(""))))
     equals = lambda kind: lambda x: x == kind
-    kinds = F.filter(F.transform("_made", lambda m: m["now"]["kind"]), lambda x: x.isNotNull())
+    kinds = F.filter(F.transform(made, lambda m: m["now"]["kind"]), lambda x: x.isNotNull())
     number = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, MAKERS)), F.array(*[F.size(F.filter(kinds, equals(v))) for v in MAKERS])), lambda _, n: n > 0)
     return found.withColumns({
-        text: F.when(F.col("_hit"), F.array_join(pieces, "")).otherwise(t),
-        counts: F.when(F.col("_hit"), number).otherwise(F.create_map().cast("map<string,int>")),
-    }).drop("_hit", "_made")
+        text: F.when(F.col(hit), F.array_join(pieces, "")).otherwise(t),
+        counts: F.when(F.col(hit), number).otherwise(F.create_map().cast("map<string,int>")),
+    }).drop(hit, made)
 
 
 @query()
