@@ -260,3 +260,19 @@ def test_few_candidates_and_empty_table(spark):
 
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(8, 0.95) - 15.507) < 1e-3 and abs(neighbours.chi_square_quantile(2, 0.5) - 1.3863) < 1e-4
+
+
+def test_neighbours_of_vectors_of_very_different_lengths(spark):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=6) for i in range(60)}
+    vectors |= {100: rng.normal(size=6) * 1e200, 101: rng.normal(size=6) * 1e-200, 102: rng.normal(size=6) * 1e9, 103: np.array([1e-310, 0, 0, 0, 0, 2e-310]), 120: rng.normal(size=6) * 1e90}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, confidence=0.9999).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+    assert set(got) == {0, 20, 40, 100, 120}
+    for q, found in got.items():
+        scores = {i: float((v * vectors[q]).sum()) for i, v in vectors.items() if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+        assert [found[r][0] for r in range(1, 6)] == want, q
+        assert all(found[r][1] == pytest.approx(scores[i], rel=1e-12) for r, i in enumerate(want, 1))
