@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import bounded_batches, query, table, whole_text
+from chronoweave.llm.common import bounded_batches, fresh_name, query, table, whole_text
 
 KINDS = ("assign", "access", "hex", "lexed")
 SPANS = T.ArrayType(T.StructType([
@@ -59,11 +59,16 @@ def name_weight(name: str) -> float:
 
 def literal_weight(text: str) -> float:
     """How much a literal looks like a drawn secret: length, characters in use, bits per character; 0 for placeholders."""
-    if len(text) < 8 or _PLACEHOLDER.match(text) or any(c.isspace() for c in text):
+    return counted_weight(Counter(text), text[:64])
+
+
+def counted_weight(counts: Counter, beginning: str) -> float:
+    """The same from character counts and the beginning of the literal."""
+    n = counts.total()
+    if n < 8 or _PLACEHOLDER.match(beginning) or any(c.isspace() for c in counts):
         return 0.0
-    n = len(text)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(text).values())
-    kinds = sum((any(c.isdigit() for c in text), any(c.islower() for c in text), any(c.isupper() for c in text), any(not c.isalnum() for c in text)))
+    bits = -sum(k / n * math.log2(k / n) for k in counts.values())
+    kinds = sum((any(c.isdigit() for c in counts), any(c.islower() for c in counts), any(c.isupper() for c in counts), any(not c.isalnum() for c in counts)))
     return min(1.0, 0.25 * min(n, 16) / 16 + 0.5 * min(bits, 3.5) / 3.5 + 0.125 * min(kinds, 2)) * (0.5 if kinds == 1 else 1.0)
 
 
@@ -107,7 +112,8 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals that reach a sensitive name, directly or through other names.
 
     A name stands for the union of its definitions: each is scored by itself, and in a concatenation the latest earlier
-    one counts (the first one, if none is earlier). So the order of lines does not matter.
+    one counts (the first one, if none is earlier). So the order of lines does not matter. A literal goes to the target that
+    gives it the highest score.
     """
     pairs = assignments(text)
     defined: dict[str, list[int]] = {}
@@ -122,24 +128,11 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
         literals.append([o[1:3] for o, r in zip(operands, refers) if not r])
         names.append([o[0] for o, r in zip(operands, refers) if r and not (colon and o[0] in types)])
 
-    pieces: dict[int, tuple[set, float]] = {}
-
-    def reach(i: int) -> tuple[set, float]:
-        """Literal spans of a pair, also behind names, and how much they look like a secret."""
-        if i not in pieces:
-            seen, todo, spans = {i}, [i], set()
-            while todo:
-                j = todo.pop()
-                spans.update(literals[j])
-                for name in names[j]:
-                    k = defined[name][max(0, bisect_left(defined[name], j) - 1)]
-                    if k not in seen:
-                        seen.add(k)
-                        todo.append(k)
-            pieces[i] = spans, literal_weight("".join(text[s:e] for s, e in sorted(spans)))
-        return pieces[i]
+    following = [sorted({defined[n][max(0, bisect_left(defined[n], j) - 1)] for n in refers} - {j}) for j, refers in enumerate(names)]
+    weights = _Reached(text, literals, following)
 
-    best: dict[tuple[int, int], tuple[str, float]] = {}
+    # each look: a sensitive target and a pair it reaches by names, with the score of that pair's literals under the target
+    looks: list[tuple[float, int, str, int]] = []
     used: set[str] = set()
     targets = sorted(((name_weight(name), i) for i, (name, *_) in enumerate(pairs)), key=lambda x: (-x[0], x[1]))
     for weight, i in targets:
@@ -149,19 +142,100 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
         todo, target = [i], pairs[i][0]
         while todo:
             j = todo.pop()
-            spans, looks = reach(j)
-            score = weight * looks
+            score = weight * weights.of(j)
             if score >= MIN_SCORE:
-                for span in spans:
-                    if span[1] > span[0] and score > best.get(span, ("", 0.0))[1]:
-                        best[span] = (target, score)
+                looks.append((-score, len(looks), target, j))
             for name in names[j]:
                 if name not in used:
                     used.add(name)
                     todo += defined[name]
+
+    # best looks first: what they reach needs no other look, so every pair is walked once
+    best: dict[tuple[int, int], tuple[str, float]] = {}
+    walked: set[int] = set()
+    for score, _, target, i in sorted(looks):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j in walked:
+                continue
+            walked.add(j)
+            for span in literals[j]:
+                if span[1] > span[0]:
+                    best.setdefault(span, (target, -score))
+            todo += following[j]
     return [(s, e, n, round(w, 6)) for (s, e), (n, w) in sorted(best.items())]
 
 
+class _Reached:
+    """How much the literals that each pair reaches look like a secret, taken together in the order of the text.
+
+    A pair that only names another one shares its result. One with literals of its own behind which one other pair stands
+    adds them to that pair's character counts, so chains of names take linear time. Where several pairs stand behind one,
+    or a span is read in two pairs, the pairs behind are walked.
+    """
+
+    HEAD = 16  # characters, as many as a placeholder's beginning has at most
+
+    def __init__(self, text: str, literals: list[list[tuple[int, int]]], following: list[list[int]]):
+        self.text, self.literals, self.following = text, literals, following
+        times = Counter(span for spans in literals for span in set(spans))
+        self.apart = [all(times[span] == 1 for span in spans) and len(set(spans)) == len(spans) for spans in literals]
+        self.known: dict[int, float] = {}
+        self.counts: dict[int, tuple[Counter, list[tuple[int, int]]]] = {}  # of chains: characters, first spans
+        self.inside: dict[int, set[int] | None] = {}  # pairs that a walk from the end of the chain has met
+
+    def of(self, i: int) -> float:
+        path, seen = [], set()
+        while i not in self.known and i not in seen and len(self.following[i]) == 1 and self.apart[i]:
+            path.append(i)
+            seen.add(i)
+            i = self.following[i][0]
+        if i not in self.known:
+            self._walk(i)
+        if i in seen:  # names in a circle: all of them reach the same
+            first = path.index(i)
+            for j in path[first + 1 :]:
+                self.known[j], self.counts[j], self.inside[j] = self.known[i], self.counts[i], self.inside[i]
+            path = path[:first]
+        for j in reversed(path):
+            self._add(j, i)
+            i = j
+        return self.known[i]
+
+    def _walk(self, i: int) -> None:
+        met, todo = {i}, [i]
+        while todo:
+            for k in self.following[todo.pop()]:
+                if k not in met:
+                    met.add(k)
+                    todo.append(k)
+        spans = sorted({span for j in met for span in self.literals[j]})
+        whole = "".join(self.text[s:e] for s, e in spans)
+        self.known[i] = literal_weight(whole)
+        self.counts[i] = Counter(whole), self._head(spans)
+        self.inside[i] = met if len(met) > 1 else None
+
+    def _add(self, i: int, behind: int) -> None:
+        met = self.inside[behind]
+        counts, head = self.counts[behind]
+        if self.literals[i] and not (met and i in met):
+            counts = counts + Counter("".join(self.text[s:e] for s, e in self.literals[i]))
+            head = self._head(sorted([*head, *self.literals[i]]))
+            self.known[i] = counted_weight(counts, "".join(self.text[s:e] for s, e in head))
+        else:
+            self.known[i] = self.known[behind]
+        self.counts[i], self.inside[i] = (counts, head), met
+
+    def _head(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        length = 0
+        for n, (s, e) in enumerate(spans, 1):
+            length += e - s
+            if length >= self.HEAD:
+                return spans[:n]
+        return spans
+
+
 def spans_of(text: str) -> list[dict]:
     """All spans by start, then in the order of KINDS."""
     found = [("access", m.start(), m.end(), None, 1.0) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
@@ -195,8 +269,8 @@ def _masked(texts: pd.Series, spans: pd.Series, mask: pd.Series) -> pd.Series:
 def find_secrets(df: DataFrame, text: str = "text", into: str = "secret_spans") -> DataFrame:
     """`df` with `into`: array of (kind, start, end, name, score), code points, end exclusive.
 
-    A null text counts as empty and an empty one has no spans. Texts are read whole, one row at a time, in linear
-    time; repeated rows give repeated results. A column already named `into` is replaced; other columns pass through.
+    A null text counts as empty and an empty one has no spans. Texts are read whole, one row at a time, in time linear in
+    the text as long as names stand in chains or circles of their own (sums of several shared names are walked); repeated rows give repeated results. A column already named `into` is replaced; other columns pass through.
     """
     bounded_batches(df.sparkSession)
     return df.withColumn(into, _spans.asNondeterministic()(whole_text(text)))
@@ -204,10 +278,11 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secret_spans")
 
 def mask_secrets(df: DataFrame, text: str = "text", mask: str = "<secret>") -> DataFrame:
     """`df` with each span (overlapping ones as one) replaced by `mask`; a null text stays null."""
-    found = find_secrets(df.withColumn("_given", F.col(text)), text, "_spans")
-    hit = F.size("_spans") > 0
-    done = F.when(hit, _masked(F.when(hit, F.col("_given")), F.when(hit, F.col("_spans")), F.lit(mask)))
-    return found.withColumn(text, F.coalesce(done, F.col("_given"))).drop("_given", "_spans")
+    given, spans = fresh_name(df, "given"), fresh_name(df, "spans")
+    found = find_secrets(df.withColumn(given, F.col(text)), text, spans)
+    hit = F.size(spans) > 0
+    done = F.when(hit, _masked(F.when(hit, F.col(given)), F.when(hit, F.col(spans)), F.lit(mask)))
+    return found.withColumn(text, F.coalesce(done, F.col(given))).drop(given, spans)
 
 
 def digest_text(spans: Column, kinds: tuple[str, ...]) -> Column:

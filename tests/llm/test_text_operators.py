@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -365,3 +366,62 @@ def test_query_digests(spark):
         assert out[d["doc_id"]]["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest()
     folds = {r["doc_id"]: r["held_out"] for r in language.op5_language_id(spark, "/root/testdata/sf0.001").collect()}
     assert all(v == (zlib.crc32(str(k).encode()) % 4 == 2) for k, v in folds.items())
+
+
+# --- long chains of names
+
+
+def definitions(k):
+    """Chains, chains with literals of their own, a circle, and a circle with a tail."""
+    first = 'k0 = "Zk3vQ9x7Lm2Pw8Rt"\n'
+    yield first + "\n".join(f"k{i} = k{i - 1}" for i in range(1, k)) + f"\ndb_password = k{k - 1}\n", {(6, 22)}
+    text = first.replace("k0", "password_0") + "\n".join(f'password_{i} = password_{i - 1} + "x{i}"' for i in range(1, k))
+    yield text, {(m.start(1), m.end(1)) for m in re.finditer(r'"([^"]*)"', text)}
+    yield "\n".join(f"password_{i} = password_{(i + 1) % k}" for i in range(k)), set()
+    text = f"api_token = n0\nn{k - 1} = n0 + " + '"Zk3vQ9x7Lm2Pw8Rt"\n' + "\n".join(f"n{i} = n{i + 1}" for i in range(k - 1))
+    yield text, {(text.index("Zk3v"), text.index("Zk3v") + 16)}
+
+
+def test_chained_names_take_linear_time():
+    for text, spans in definitions(50_000):
+        start = time.process_time()
+        assert {x[:2] for x in secrets.lexed(text)} == spans
+        assert time.process_time() - start < 8  # 2 or less on a free machine
+
+
+def test_shared_results_equal_plain_walks():
+    """Every pair's literals by walking what it names, without anything shared."""
+    rng = random.Random(7)
+    names = ["a", "b", "c", "db_password", "api_token", "salt", "user"]
+    for _ in range(400):
+        operand = lambda: rng.choice(names) if rng.random() < 0.55 else '"' + "".join(rng.choice("abcdEFGH0123!# ") for _ in range(rng.randint(0, 14))) + '"'
+        text = "\n".join(f"{rng.choice(names)} = {' + '.join(operand() for _ in range(rng.choice([1, 1, 2, 3])))}" for _ in range(rng.randint(1, 10)))
+        pairs = secrets.assignments(text)
+        where = {n: [i for i, p in enumerate(pairs) if p[0] == n] for n in names}
+        got = {}
+        for i, (name, *_) in enumerate(pairs):
+            looked = {i}
+            todo = [i]  # all definitions of all names behind
+            while todo:
+                for word, _, _, quoted in pairs[todo.pop()][1]:
+                    for k in where.get(word, []) if not quoted else []:
+                        if k not in looked:
+                            looked.add(k)
+                            todo.append(k)
+            for j in looked if secrets.name_weight(name) else ():
+                met, todo = {j}, [j]
+                while todo:
+                    at = todo.pop()
+                    for word, _, _, quoted in pairs[at][1]:
+                        if not quoted and where.get(word):
+                            k = max([d for d in where[word] if d < at], default=where[word][0])
+                            if k not in met:
+                                met.add(k)
+                                todo.append(k)
+                spans = sorted({(s, e) for k in met for word, s, e, quoted in pairs[k][1] if quoted or not where.get(word)})
+                score = secrets.name_weight(name) * secrets.literal_weight("".join(text[s:e] for s, e in spans))
+                if score >= secrets.MIN_SCORE:
+                    for span in spans:
+                        if span[1] > span[0]:
+                            got[span] = max(got.get(span, 0), round(score, 6))
+        assert {x[:2]: x[3] for x in secrets.lexed(text)} == got, text
