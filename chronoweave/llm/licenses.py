@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.functions.kernels import materialize
-from chronoweave.llm.common import bounded_batches, query, table, whole_text, without
+from chronoweave.llm.common import bounded_batches, fresh_name, query, table, whole_text, without
 
 #: (license, notice): opening sentences and usual short notices of public licenses.
 TEMPLATES = (
@@ -49,6 +49,47 @@ TEMPLATES = (
     ("All-Rights-Reserved", "All rights reserved."),
     ("All-Rights-Reserved", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 )
+_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: (license, whole text) of the short licenses.
+WHOLE = (
+    ("MIT", f"""MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject
+to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY} OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD} {_BSD_3} {_BSD_END}"),
+    ("ISC", """ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
+appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law. {_WARRANTY} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to"""),
+)
+#: (license, title) that the whole text of a long license begins with.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+)
+TEMPLATES += WHOLE
 SPDX = {"mit": "MIT", "apache-2.0": "Apache-2.0", "isc": "ISC", "unlicense": "Unlicense", "mpl-2.0": "MPL-2.0", "cc0-1.0": "CC0-1.0", "epl-2.0": "EPL-2.0"}
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx-|permission is hereby|redistribut|all rights reserved|creative commons|public domain|mozilla public"
 HEADER_COSINE, FILE_COSINE = 0.75, 0.9
@@ -113,19 +154,53 @@ def notices(text: str):
                 yield " ".join(lines[i:hi])
 
 
+@lru_cache(maxsize=1)
+def openings():
+    """First three words of a template to the lengths, in words, of the templates that open so."""
+    out = defaultdict(set)
+    for _, t in TEMPLATES:
+        found = _TERM.findall(t.lower())
+        out[tuple(found[:3])].add(len(found))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def opened(found: list[str]):
+    """Stretches of the text's words that open like a template, as long as it: however the lines are wrapped."""
+    lengths = openings()
+    for i in range(len(found) - 2):
+        for n in lengths.get((found[i], found[i + 1], found[i + 2]), ()):
+            yield " ".join(found[i : i + n])
+
+
 def declared(text: str) -> tuple[str | None, float, bool]:
-    """(license, cosine, whether the whole text is one) of a text; an SPDX tag decides at once."""
-    whole, score = cosine(text) if len(text) <= 20_000 else (None, 0.0)
-    if score >= FILE_COSINE:
-        return whole, score, True
-    if tag := _SPDX.search(text):
+    """(license, cosine, whether the whole text is one) of a text of any length; an SPDX tag decides at once.
+
+    A text that holds a clause of its own of the BSD-3 license is that, whatever else of the BSD licenses it holds.
+    """
+    found = _TERM.findall(text.lower())
+    scores: dict[str, float] = {}
+    name, score = cosine(text)
+    whole = score >= FILE_COSINE
+    if whole:
+        scores[name] = score
+    for name, title in TITLES:
+        opening = _TERM.findall(title.lower())
+        if found[: len(opening)] == opening:
+            return name, 1.0, True
+    if not whole and (tag := _SPDX.search(text)):
         return SPDX.get(tag[1].lower(), tag[1]), 1.0, False
-    best, top = None, 0.0
-    for piece in dict.fromkeys(notices(text)):
+    pieces = dict.fromkeys(opened(found) if whole else [*notices(text), *opened(found)])
+    for piece in pieces:
         name, s = cosine(piece)
-        if s > top:
-            best, top = name, s
-    return (best, top, False) if top >= HEADER_COSINE else (None, 0.0, False)
+        if s >= HEADER_COSINE and s > scores.get(name, 0.0) and (not whole or name == "BSD-3-Clause"):
+            scores[name] = s
+    if not scores:
+        return None, 0.0, False
+    best = "BSD-3-Clause" if "BSD-3-Clause" in scores and max(scores, key=scores.get) == "BSD-2-Clause" else max(scores, key=scores.get)
+    return best, scores[best] if not whole else score, whole
+
+
+RESULTS = ["license", "license_score", "license_from", "license_directory"]
 
 
 def parent(path: Column) -> Column:
@@ -147,6 +222,11 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", max_directories:
     score counts, then the first license by name. Null and empty texts have no notice, a null path inherits nothing.
     Repeated rows are rows of their own. Columns named like the results are replaced.
     """
+    return inherited(with_declared(df, path, text), max_directories)
+
+
+def with_declared(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """`df` with `license`, `license_score`, `license_from` (file, header or none) of each text, and `license_directory`."""
     bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("whole", T.BooleanType())])
 
@@ -154,30 +234,41 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", max_directories:
     def own(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([declared(t) if t and _TRIGGER.search(t) else (None, 0.0, False) for t in texts], columns=["name", "score", "whole"])
 
-    results = ["license", "license_score", "license_from"]
-    given = without(df.withColumns({"_own": own.asNondeterministic()(whole_text(text)), "_dir": F.array_join(F.filter(F.split(parent(F.col(path)), "/"), lambda p: p != ""), "/")}), results)
+    kept, got = without(df, RESULTS), fresh_name(df, "own")
+    given = df.select(*[F.col(f"`{c}`") for c in kept.columns], own.asNondeterministic()(whole_text(text)).alias(got))
     file_name = F.rlike(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"([^/]*)$", 1), F.lit(FILE_NAME))
-    is_file = F.col("_own.name").isNotNull() & (F.col("_own.whole") | file_name) & F.col(path).isNotNull()
-    given = given.withColumn("_file", is_file)
-
-    light = materialize(given.select("_dir", "_file", F.when(F.col("_file"), F.col("_own.name")).alias("name"), F.when(F.col("_file"), F.col("_own.score")).alias("score")).groupBy("_dir").agg(
-        F.max("_file").alias("has"), F.min(F.when(F.col("_file"), F.struct((-F.col("score")).alias("order"), "name", "score"))).alias("best")))
-    holders = light.where("has").select(F.col("_dir").alias("up"), "best")
-    near = light.where(F.col("_dir").isNotNull()).select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("steps", "up")).join(holders, "up")
-    near = materialize(near.groupBy("_dir").agg(F.min_by("best", "steps").alias("_near")))
+    name = F.col(f"{got}.name")
+    is_file = name.isNotNull() & (F.col(f"{got}.whole") | file_name) & F.col(path).isNotNull()
+    directory = F.array_join(F.filter(F.split(parent(F.col(path)), "/"), lambda p: p != ""), "/")
+    results = (name, F.col(f"{got}.score"), F.when(is_file, "file").when(name.isNotNull(), "header").otherwise("none"), directory)
+    return given.select(*[F.col(f"`{c}`") for c in kept.columns], *[c.alias(n) for c, n in zip(results, RESULTS)])
+
+
+def inherited(df: DataFrame, max_directories: int = 1_000_000) -> DataFrame:
+    """What with_declared() gave, rows without a notice filled from the nearest ancestor directory with a license file."""
+    near_column = fresh_name(df, "near")
+    file = F.col("license_from") == "file"
+    light = materialize(df.select("license_directory", file.alias("file"), F.col("license").alias("name"), F.col("license_score").alias("score")).groupBy("license_directory").agg(
+        F.max("file").alias("has"), F.min(F.when(F.col("file"), F.struct((-F.col("score")).alias("order"), "name", "score"))).alias("best")))
+    holders = light.where("has").select(F.col("license_directory").alias("up"), "best")
+    near = light.where(F.col("license_directory").isNotNull()).select("license_directory", F.posexplode(ancestors(F.col("license_directory"))).alias("steps", "up")).join(holders, "up")
+    near = materialize(near.groupBy("license_directory").agg(F.min_by("best", "steps").alias(near_column)))
     if near.count() <= max_directories:
         near = F.broadcast(near)
-    done = given.join(near, "_dir", "left")
-    mine = F.col("_own.name").isNotNull()
-    return done.withColumns({
-        "license": F.coalesce(F.col("_own.name"), F.col("_near.name")),
-        "license_score": F.round(F.when(mine, F.col("_own.score")).otherwise(F.coalesce(F.col("_near.score"), F.lit(0.0))), 6),
-        "license_from": F.when(F.col("_file"), "file").when(mine, "header").when(F.col("_near").isNotNull(), "inherited").otherwise("none"),
-    }).drop("_own", "_dir", "_file", "_near")
+    done = df.join(near, "license_directory", "left")
+    mine, theirs = F.col("license").isNotNull(), F.col(near_column)
+    filled = {
+        "license": F.coalesce("license", theirs["name"]),
+        "license_score": F.round(F.when(mine, F.col("license_score")).otherwise(F.coalesce(theirs["score"], F.lit(0.0))), 6),
+        "license_from": F.when(mine, F.col("license_from")).when(theirs.isNotNull(), "inherited").otherwise("none"),
+    }
+    return done.select(*[F.col(f"`{c}`") for c in df.columns if c not in RESULTS], *[c.alias(n) for n, c in filled.items()])
 
 
 @query()
 def op8_license_scan(spark, sf_dir):
     """Documents have no path of their own: source and language stand for the directories."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string")).alias("path"))
-    return scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
+    # the texts are read once; what is inherited needs their results only
+    light = materialize(with_declared(docs).drop("text"))
+    return inherited(light).select("doc_id", "path", "license", "license_score", "license_from")
