@@ -111,9 +111,9 @@ ds AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM s),
 i AS (SELECT item_id, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p, w FROM iw WHERE len(w) > 0),
 ig AS (SELECT item_id, array_to_string(w[p : p + 4], ' ') AS g, count(*) AS c, any_value(greatest(len(w) - 4, 1)) AS n FROM i GROUP BY 1, 2),
 hit AS (SELECT doc_id, item_id, p, n FROM ds JOIN ig USING (g)),
-starts AS (SELECT a.doc_id, a.item_id, a.p, a.n FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + a.n - 1
-           GROUP BY ALL HAVING count(*) >= ceil(a.n * 1.6 / 1.8 - 1e-9)),
 total AS (SELECT doc_id, max(p) AS last FROM ds GROUP BY 1),
+starts AS (SELECT a.doc_id, a.item_id, a.p, a.n FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + a.n - 1 JOIN total t ON t.doc_id = a.doc_id
+           GROUP BY a.doc_id, a.item_id, a.p, a.n, t.last HAVING count(*) >= ceil((a.n + least(a.n, t.last - a.p + 1)) * 0.8 / 1.8 - 1e-9)),
 cnt AS (SELECT x.doc_id, x.item_id, x.p, x.n, d.g, count(*) AS c FROM starts x JOIN ds d ON d.doc_id = x.doc_id AND d.p BETWEEN x.p AND x.p + x.n - 1 GROUP BY ALL),
 ov AS (SELECT c.doc_id, c.item_id, c.p, c.n, sum(least(c.c, ig.c)) AS o FROM cnt c JOIN ig ON ig.item_id = c.item_id AND ig.g = c.g GROUP BY ALL),
 sim AS (SELECT doc_id, item_id, o / (n + least(n, last - p + 1) - o) AS j FROM ov JOIN total USING (doc_id))

@@ -276,3 +276,25 @@ def test_neighbours_of_vectors_of_very_different_lengths(spark):
         want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
         assert [found[r][0] for r in range(1, 6)] == want, q
         assert all(found[r][1] == pytest.approx(scores[i], rel=1e-12) for r, i in enumerate(want, 1))
+
+
+def test_truncated_passages_in_sql_and_spark(spark):
+    import duckdb
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((60, 40, 12, 3))]
+    docs, cut = [], {0: (51, 47, 46), 1: (34, 33, 30), 2: (12, 11), 3: (3,)}
+    for i, text in items:
+        for keep in cut[i]:
+            held = " ".join(text.split()[:keep])
+            docs += [held, " ".join(word() for _ in range(30)) + " " + held, held + " " + " ".join(word() for _ in range(30))]
+    docs = [(100 + i, t) for i, t in enumerate([*docs, "", None])]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r["id"], r["item_id"], round(r["similarity"], 6)) for r in found.collect())
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(decontaminate.SQL).fetchall())
+    assert (100, 0, 0.839286) in got and (101, 0, 0.839286) in got  # the first 51 of 60 words, at the end of a text
