@@ -23,11 +23,12 @@ def staged(t: Tables, files: dict) -> str:
     return root
 
 
-def movie_root(t: Tables) -> str:
+def movie_root(t: Tables, gaps: bool = False) -> str:
+    """Ratings and movies as raw files; with `gaps` every tenth movie is missing from the second."""
     e = t.events
     ratings = e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(F.col("user_id").alias("userId"), (F.col("event_id") % 97).alias("movieId"), (F.floor(F.col("value")) % 5 + 1).alias("rating"), F.floor(F.unix_micros("ts") / 1000000).alias("timestamp"))
     movies = e.select((F.col("event_id") % 97).alias("movieId")).distinct().select("movieId", F.concat(F.lit("Movie, "), F.col("movieId").cast("string")).alias("title"), F.lit("Drama").alias("genres"))
-    return staged(t, {"ratings.csv": ratings, "movies.csv": movies})
+    return staged(t, {"ratings.csv": ratings, "movies.csv": movies.where("movieId % 10 <> 3") if gaps else movies})
 
 
 @query("A3 A2 A1 L1", """SELECT 'ml-rating-' || (row_number() OVER (ORDER BY event_id) - 1) AS event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(event_id % 97 AS VARCHAR) AS movie_id,
@@ -112,6 +113,31 @@ def subset_validation(t: Tables):
     return t.spark.read.schema("check string, bad long").json(f"{root}/validation.json")
 
 
+def published(t: Tables) -> str:
+    """A subset of all events over movies with gaps, written and read back."""
+    s = ix.source_by_name("movielens", t.spark, movie_root(t, gaps=True))
+    n = t.events.count()
+    root = f"{workspace(t.spark)}/subset-{uuid.uuid4().hex}"
+    ix.write_subset(ix.build_subset(s, n), root, target=n)
+    return root
+
+
+@query("A15 D46", """SELECT 'duplicate_ids' AS "check", count(*) - count(DISTINCT event_id) AS bad FROM events UNION ALL SELECT 'null_ids', count(*) FILTER (WHERE event_id IS NULL) FROM events
+UNION ALL SELECT 'bad_times', count(*) FILTER (WHERE ts IS NULL) FROM events UNION ALL SELECT 'missing_splits', 0 UNION ALL SELECT 'incomplete_histories', count(*) - (SELECT count(*) FROM events) FROM events
+UNION ALL SELECT 'source_orphans', count(*) FILTER (WHERE user_id IS NULL) FROM events UNION ALL SELECT 'destination_orphans', count(*) FILTER (WHERE event_id % 97 % 10 = 3) FROM events""")
+def subset_validation_with_orphans(t: Tables):
+    """Every tenth movie has no entity row; the report counts the events left without one."""
+    return ix.read_subset(t.spark, published(t))["validation"].select("check", F.col("bad").cast("long").alias("bad"))
+
+
+@query("A15", """SELECT 'interactions' AS "table", count(*) AS rows, count(*) AS target, 0::BIGINT AS deviation, true AS within_tolerance FROM events
+UNION ALL SELECT 'sources', count(DISTINCT user_id), NULL, NULL, NULL FROM events UNION ALL SELECT 'destinations', count(DISTINCT event_id % 97) FILTER (WHERE event_id % 97 % 10 <> 3), NULL, NULL, NULL FROM events""")
+def subset_manifest(t: Tables):
+    """Rows of each table, the target and how far the subset is from it, from the manifest of a finished subset."""
+    lines = t.spark.read.schema("table string, rows long, target long, deviation long, within_tolerance boolean").json(f"{published(t)}/manifest.json")
+    return lines.where("table not in ('statistics', 'validation')")
+
+
 @query("D46 A15")
 def subset_statistics(t: Tables):
     s = ix.source_by_name("movielens", t.spark, movie_root(t))

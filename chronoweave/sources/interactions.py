@@ -192,10 +192,48 @@ def subset_validation(events: DataFrame, r: SourceRoles, full: DataFrame, source
     return stack_reports(*parts).select(F.col("metric").alias("check"), F.col("value").cast("long").alias("bad"))
 
 
-def write_subset(subset: Subset, root: str, mode: str = "error") -> None:
-    """Interactions by split, both entity tables, and the two reports as JSON lines."""
-    write_table(subset.interactions, f"{root}/interactions.parquet", ["split"], mode)
-    write_table(subset.sources, f"{root}/sources.parquet", mode=mode)
-    write_table(subset.destinations, f"{root}/destinations.parquet", mode=mode)
-    write_table(subset.statistics, f"{root}/statistics.json", mode=mode)
-    write_table(subset.validation, f"{root}/validation.json", mode=mode)
+TABLES = {"interactions": "interactions.parquet", "sources": "sources.parquet", "destinations": "destinations.parquet", "statistics": "statistics.json", "validation": "validation.json"}
+
+
+def write_subset(subset: Subset, root: str, mode: str = "error", target: int | None = None, tolerance: float = 0.05) -> None:
+    """Interactions by split, both entity tables, the two reports as JSON lines, and last the manifest.
+
+    The manifest has one line a table: file, schema, rows and a digest of the content as read back; for the interactions also
+    the target, how far the subset is from it, and whether that is within the tolerance. A subset without a manifest was not
+    finished and read_subset() does not take it.
+    """
+    for name, file in TABLES.items():
+        write_table(getattr(subset, name), f"{root}/{file}", ["split"] if name == "interactions" else (), mode)
+    spark, lines = subset.interactions.sparkSession, []
+    for name, file in TABLES.items():
+        rows, digest, schema = _content(spark, f"{root}/{file}", _listed(getattr(subset, name)))
+        aim = target if name == "interactions" else None
+        away = None if aim is None else rows - aim
+        lines.append((name, file, schema, rows, digest, aim, away, None if aim is None else abs(away) <= tolerance * max(aim, 1)))
+    manifest = spark.createDataFrame(lines, "table string, file string, schema string, rows long, digest string, target long, deviation long, within_tolerance boolean")
+    write_table(manifest, f"{root}/manifest.json", mode=mode)
+
+
+def _listed(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in sorted(df.dtypes))
+
+
+def _content(spark: SparkSession, path: str, schema: str) -> tuple[int, str, str]:
+    """(rows, digest, schema) of a written table; the digest does not depend on the order of rows or files."""
+    df = read_table(spark, path, schema if path.endswith(".json") else None)
+    names = sorted(df.columns)
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names])
+    n, mixed, total = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(1_000_003))), F.lit(0))).first()
+    return n, f"{mixed & (2**64 - 1):016x}-{total}", _listed(df)
+
+
+def read_subset(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a finished subset by name. It raises where the manifest is missing or a table is not what it says."""
+    schema = "table string, file string, schema string, rows long, digest string, target long, deviation long, within_tolerance boolean"
+    lines = spark.read.schema(schema).json(f"{root}/manifest.json").collect()  # one line a table
+    if {r["table"] for r in lines} != set(TABLES):
+        raise ValueError(f"no whole manifest under {root}")
+    for r in lines:
+        if _content(spark, f"{root}/{r['file']}", r["schema"]) != (r["rows"], r["digest"], r["schema"]):
+            raise ValueError(f"{r['file']} is not what the manifest says")
+    return {r["table"]: read_table(spark, f"{root}/{r['file']}", r["schema"] if r["file"].endswith(".json") else None) for r in lines}
