@@ -87,7 +87,7 @@ class Codec:
         self.queue = RankQueue(self.size)  # empty again after each merge()
         self.known: dict[str, bytes] = {}  # ids as packed integers
         self.older: dict[str, bytes] = {}  # what was known when the memory was last full; what is used of it moves over
-        self.held = 0  # bytes of `known`
+        self.held, self.remember = 0, REMEMBERED_BYTES  # bytes of `known`, and their bound
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each pre-token. They share one queue: pairs never reach across a border between two of them."""
@@ -150,7 +150,7 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text. Pre-tokens not seen before are merged together."""
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.remember:
             self.known, self.older, self.held = {}, self.known, 0
         split, known, ranks = self.split, self.known, self.ranks
         pieces = [split(t) for t in texts]
@@ -202,13 +202,13 @@ def _shared(spark, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "token_ids", keep: bool = True) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "token_ids", keep: bool = True, remember: int = REMEMBERED_BYTES) -> DataFrame:
     """`df` with `into`: array<int> of the whole text's token ids; null and empty texts have an empty array.
 
     `vocabulary` is a rank file read on the driver (size checked) and sent to the executors once. Special tokens are
     plain text. A column named `into` is replaced. Each row stands alone: repeated rows and ties need no rule.
-    Workers remember the ids of pre-tokens (bounded by REMEMBERED_BYTES) from task to task; with `keep` off they forget them
-    at the end of a task, which leaves more memory to other stages and takes more time.
+    Workers remember the ids of pre-tokens (up to `remember` bytes in each of two generations) from task to task; with
+    `keep` off they forget them at the end of a task, which leaves more memory to other stages and takes more time.
     """
     bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
@@ -216,6 +216,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(data.value, pattern)
+        c.remember = remember
         try:
             for texts in batches:
                 yield pd.Series(c.encode(texts))
@@ -239,7 +240,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(into, back.asNondeterministic()(F.col(ids)))
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded", keep: bool = True) -> DataFrame:
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded", keep: bool = True, remember: int = REMEMBERED_BYTES) -> DataFrame:
     """encode() and decode() in one pass over the rows: `ids` and, decoded from them, `into`."""
     bounded_batches(df.sparkSession)
     data = _shared(df.sparkSession, vocabulary)
@@ -247,6 +248,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(data.value, pattern)
+        c.remember = remember
         try:
             for texts in batches:
                 encoded = c.encode(texts)

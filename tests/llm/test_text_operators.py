@@ -120,9 +120,9 @@ def test_long_pretokens_equal_the_library(codec, reference):
         assert codec.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
-def test_memory_of_pretokens_is_bounded_in_bytes_and_outlives_a_task(reference, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 20_000)
+def test_memory_of_pretokens_is_bounded_in_bytes_and_outlives_a_task(reference):
     small = byte_bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    small.remember = 20_000
     rng = random.Random(5)
     pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(3_000)]
     for _ in range(40):
