@@ -12,6 +12,7 @@ from chronoweave.functions.kernels import materialize
 from chronoweave.llm import byte_bpe, decontaminate, jaccard_join, language, secrets
 from chronoweave.llm.common import bucket_of_id, table
 
+REMEMBERED_BYTES = 16 << 20  # of pre-tokens, in a worker that the other stages share; the tokens do not depend on it
 #: SQL expresses neither the network nor the tokens; tests/llm/test_pipeline.py checks the stages against brute force.
 ORACLE_SQL = None
 
@@ -46,7 +47,7 @@ def tokens(spark, docs, sf_dir):
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    done = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern, keep=False)
+    done = byte_bpe.round_trip(docs.select("doc_id", "text"), path, pattern, keep=False, remember=REMEMBERED_BYTES)
     return done.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
