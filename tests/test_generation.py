@@ -75,6 +75,31 @@ def test_nearest_rows_equal_brute_force(spark, metric, monkeypatch):
     assert [got[i] for i in range(25)] == pytest.approx(np.where(same, d, np.inf).min(1).tolist())
 
 
+def test_nearest_rows_in_many_dimensions_ask_blocks_and_not_rings(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2500, 24))
+    r = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    at = nn.rings(r, "id", "v", "l2", 64)
+    asked = nn.visits(r, "id", "v", "l2", at, 1)
+    assert asked.count() == 2500  # one row carries a vector, however many rings are in reach
+    assert len(at.cell) >= 50 and asked.selectExpr("max(size(_blocks))").first()[0] <= 2
+
+
+def test_nearest_of_equal_rows_is_the_smallest_id_at_distance_zero(spark, monkeypatch):
+    monkeypatch.setattr(nn, "RING_ROWS", 3)
+    monkeypatch.setattr(nn, "QUERY_ROWS", 10)
+    rng = np.random.default_rng(4)
+    v = 1e3 + rng.normal(size=(40, 17))
+    r = spark.createDataFrame([(f"{100 + i}", v[i % 40].tolist()) for i in range(240)], "id string, v array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "qid int, v array<double>")
+    got = {x["qid"]: (x["distance"], x["neighbor"]) for x in nn.nearest_rows(q, "qid", r, "id", "v").collect()}
+    assert got == {i: (0.0, f"{100 + i}") for i in range(40)}
+    got = {x["id"]: (x["distance"], x["neighbor"]) for x in nn.nearest_rows(r, "id", r, "id", "v", drop_self=True).collect()}
+    assert got == {f"{100 + i}": (0.0, f"{100 + i % 40}" if i >= 40 else f"{140 + i}") for i in range(240)}
+    zero = r.selectExpr("id as _r", "0.0D as radius")
+    assert {x["balls"] for x in nn.balls_hit(q, "qid", r, "id", "v", zero).collect()} == {6}
+
+
 def test_connected_components(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x1", "x2"), ("x2", "x3"), ("x1", "x3"), ("z", "z")]
     got = {r["node"]: r["component"] for r in rl.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
