@@ -109,10 +109,11 @@ def bucket_of(column: str, raw_id, buckets: int) -> Column:
     return F.pmod(hashed_long(column, raw_id), F.lit(buckets))
 
 
-def hashed_bag(df: DataFrame, key: str, tokens_col: Column, dim: int = 64) -> DataFrame:
+def hashed_bag(df: DataFrame, key: str, tokens_col: Column, dim: int = 64, places: str | None = None) -> DataFrame:
     """(key, embedding): signed token counts hashed into `dim` places, scaled to length one.
 
-    Long format in, one row per key out: tokens are counted per (key, place) before the shuffle.
+    Long format in, one row per key out: tokens are counted per (key, place) before the shuffle. `places` names a column
+    for the number of places that tokens fall on, among them those where the signs cancel out.
     """
     h = hashed_long("bag", F.col("token"))
     cells = (
@@ -123,8 +124,9 @@ def hashed_bag(df: DataFrame, key: str, tokens_col: Column, dim: int = 64) -> Da
     )
     packed = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    with_norm = packed.select(key, raw.alias("raw")).withColumn("len", F.sqrt(array_sum(F.transform("raw", lambda v: v * v))))
-    return with_norm.select(key, F.transform("raw", lambda v: F.coalesce(F.try_divide(v, F.col("len")), F.lit(0.0))).alias("embedding"))
+    hit = [F.size("m").alias(places)] if places else []
+    with_norm = packed.select(key, *hit, raw.alias("raw")).withColumn("len", F.sqrt(array_sum(F.transform("raw", lambda v: v * v))))
+    return with_norm.select(key, F.transform("raw", lambda v: F.coalesce(F.try_divide(v, F.col("len")), F.lit(0.0))).alias("embedding"), *([places] if places else []))
 
 
 def text_encoder(encode: Callable[[Sequence[str]], Sequence[Sequence[float]]]):

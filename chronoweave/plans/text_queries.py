@@ -61,9 +61,15 @@ def trigram_counts_by_language(t: Tables):
 SELECT doc_id, {r('coalesce(sum(w) / nullif(sqrt(sum(w * w)), 0), 0)')} AS total, {r('coalesce(max(w) / nullif(sqrt(sum(w * w)), 0), 0)')} AS top,
 {r('coalesce(coalesce(max(w) FILTER (WHERE place = 7), 0) / nullif(sqrt(sum(w * w)), 0), 0)')} AS place7 FROM e GROUP BY doc_id""")
 def hashed_text_embeddings(t: Tables):
-    e = tx.hashed_bag(t.texts, "doc_id", tx.tokens("text"), 64)
+    return embedding_summary(t.texts)
+
+
+def embedding_summary(texts):
+    """(doc_id, total, top, place7) of the hashed embeddings; top is the largest entry among the places that tokens fall on."""
+    e = tx.hashed_bag(texts, "doc_id", tx.tokens("text"), 64, places="places")
     nonzero = F.filter("embedding", lambda v: v != 0)
-    top = F.coalesce(F.array_max(nonzero), F.lit(0.0))
+    largest = F.coalesce(F.array_max(nonzero), F.lit(0.0))
+    top = F.when(F.col("places") > F.size(nonzero), F.greatest(largest, F.lit(0.0))).otherwise(largest)
     return e.select("doc_id", r6(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)).alias("total"), r6(top).alias("top"), r6(F.col("embedding")[7]).alias("place7"))
 
 

@@ -107,3 +107,12 @@ def test_tokens_and_ngrams(spark):
     out = [r[0] for r in df.select(tx.tokens("t")).collect()]
     assert out[0] == ["café", ",", "'", "déjà", "'", "vu", "!"] and out[1] == [] and out[2] == []
     assert len(df.select(tx.ngrams(tx.tokens("t"), 3)).first()[0]) == 5
+
+
+def test_largest_entry_counts_places_where_signs_cancel(spark):
+    from chronoweave.plans.text_queries import embedding_summary
+
+    # bi and bb fall on one place with opposite signs, ac on another one with a negative sign
+    rows = spark.createDataFrame([(1, "bi bb ac"), (2, "ac"), (3, "bi bb")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["total"], r["top"]) for r in embedding_summary(rows).collect()}
+    assert got == {1: (-1.0, 0.0), 2: (-1.0, -1.0), 3: (0.0, 0.0)}
