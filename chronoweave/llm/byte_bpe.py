@@ -26,6 +26,7 @@ ENTRY_BYTES = 200  # of a remembered pre-token beside its text and ids
 LONG_PIECE = 256  # longer ones are not remembered
 PIECES_AT_ONCE = 2_000  # pre-tokens that share the queue
 CHARS_AT_ONCE = 1_000_000  # texts are taken together up to this size (a longer text alone)
+BATCH_ROWS, BATCH_SIZE = 200, "1m"  # a batch becomes pieces, ids, bytes and Arrow arrays, several times its own size together
 MAX_VOCABULARY_BYTES = 64 << 20  # size check of the one broadcast
 
 
@@ -210,7 +211,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
     Workers remember the ids of pre-tokens (up to `remember` bytes in each of two generations) from task to task; with
     `keep` off they forget them at the end of a task, which leaves more memory to other stages and takes more time.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH_ROWS, BATCH_SIZE)
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf("array<int>")
@@ -229,7 +230,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", int
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """`df` with `into`: the bytes of the ids (null ids give null; an id outside the vocabulary fails the job)."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH_ROWS, BATCH_SIZE)
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf("binary")
@@ -242,7 +243,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded", keep: bool = True, remember: int = REMEMBERED_BYTES) -> DataFrame:
     """encode() and decode() in one pass over the rows: `ids` and, decoded from them, `into`."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH_ROWS, BATCH_SIZE)
     data = _shared(df.sparkSession, vocabulary)
 
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))

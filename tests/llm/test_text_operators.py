@@ -425,3 +425,10 @@ def test_shared_results_equal_plain_walks():
                         if span[1] > span[0]:
                             got[span] = max(got.get(span, 0), round(score, 6))
         assert {x[:2]: x[3] for x in secrets.lexed(text)} == got, text
+
+
+def test_batches_of_texts_to_encode_are_small(spark):
+    rows = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    byte_bpe.round_trip(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 200
