@@ -114,3 +114,39 @@ def test_rewiring_keeps_degrees(spark):
     assert len({(r["s"], r["t"]) for r in out}) == len(pairs)
     for side in ("s", "t"):
         assert sorted(r[side] for r in out) == sorted(r[side] for r in e.collect())
+
+
+def test_rows_of_large_counts_come_from_many_tasks(spark):
+    counts = spark.range(64).select(F.col("id").alias("cell"), F.lit(50).alias("n"))
+    made = sg.expand(counts, "n", "place")
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made.count() == 3200
+
+
+def test_candidate_pools_are_never_sized_by_their_slots(spark):
+    slots = spark.range(40).select(F.concat(F.lit("s"), "id").alias("slot"), (F.col("id") % 2).cast("int").alias("customer_block"), F.lit(0).alias("product_block"))
+    customers = spark.range(6).select(F.col("id").alias("customer_id"), (F.col("id") % 2).cast("int").alias("customer_block"), F.lit(3).alias("degree"))
+    products = spark.range(4).select(F.col("id").alias("product_id"), F.lit(0).alias("product_block"), F.lit(2).alias("degree"))
+    unit = [F.array(F.lit(0.6), F.lit(0.8)).alias("vector")]
+    out = sg.candidate_affinity(slots, {"customer_id": (customers, "customer_block"), "product_id": (products, "product_block")}, (customers.select("customer_id", *unit), products.select("product_id", *unit)))
+    # exploded rows under a join would be taken for as few as there were before, and broadcast
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.join(slots, "slot").collect()
+    assert len(rows) == 40 and all(r["customer_id"] % 2 == r["customer_block"] for r in rows)
+
+
+def test_picks_agree_with_a_cumulative_scan(spark):
+    weights = {("a", i): float(w) for i, w in enumerate((0.001, 5, 0, 3, 1e-9, 2, 7))} | {(None, 9): 1.0}
+    table = spark.createDataFrame([(b, i, w) for (b, i), w in weights.items()], "b string, item int, w double")
+    us = [i / 997 for i in range(997)] + [0.999999999]
+    draws = spark.createDataFrame([(f"{b}{j}", b, u) for b in ("a", None) for j, u in enumerate(us)], "key string, b string, u double")
+    got = {r["key"]: r["item"] for r in sg.pick_by_weight(draws, "u", table, "w", ["item"], ["b"], ["item"]).collect()}
+    live = [(i, w) for (b, i), w in weights.items() if b == "a" and w > 0]
+    total, want = sum(w for _, w in live), {}
+    for j, u in enumerate(us):
+        start = 0.0
+        for i, w in live:
+            if start / total <= u:
+                want[f"a{j}"] = i
+            start += w
+        want[f"None{j}"] = 9
+    assert got == want
