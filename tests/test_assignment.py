@@ -35,6 +35,20 @@ def test_auction_is_near_the_best_assignment(spark):
         assert not done.assigned.where("filled").count()
 
 
+def test_packed_candidates_go_by_number(spark):
+    """Candidates of one row a slot, keyed by the slot's number, give what rows keyed by its text give; two rounds move few of them."""
+    rng = random.Random(3)
+    scores = [[round(rng.random(), 3) if rng.random() < 0.8 else None for _ in range(5)] for _ in range(14)]
+    slots, candidates, caps = auction_tables(spark, scores, [4, 4, 3, 2, 1], customers=[i % 4 for i in range(14)])
+    numbered = ea.in_order(slots)
+    assert [r["number"] for r in numbered.orderBy("slot").collect()] == list(range(1, 15))
+    offers = ea.packed(candidates.join(numbered.select("slot", "number", "customer_id"), "slot"))
+    assert offers.count() == candidates.select("slot").distinct().count() and ea.unpacked(offers).count() == candidates.count()
+    one, two = ea.auction(slots, candidates, caps, rounds=5), ea.auction(numbered, offers, caps, rounds=5)
+    rows = lambda done: sorted((r["slot"], r["product_id"], r["filled"]) for r in done.assigned.collect())
+    assert rows(one) == rows(two) and one.rounds.collect() == two.rounds.collect()
+
+
 def test_auction_fills_what_candidates_leave(spark):
     scores = [[3.0, None, None] for _ in range(5)]  # everybody wants product 0, which has one place
     slots, candidates, caps = auction_tables(spark, scores, [1, 2, 2])
