@@ -730,31 +730,47 @@ def cluster_blocks(vectors: DataFrame, entity: str, k: int, block: str, seed: in
 def rewire(edges: DataFrame, key: str, src: str, dst: str, by: Sequence[str], seed: int = 42, patience: int = 10) -> DataFrame:
     """Targets permuted among edges of the same class (block pair and in-degree class), without new parallel edges.
 
-    Every source keeps its degree, every target too, and so do block and joint degree matrices. Edges that
-    end up parallel are permuted again together with random partners, round by round, until none is left. It raises only
-    when their number has not fallen for `patience` rounds.
+    Every source keeps its degree, every target too, and so do block and joint degree matrices. A permutation is one cycle in
+    random order: each edge takes the target of the edge before it, which is one pass over the table. Edges that end up
+    parallel are permuted again together with random partners, round by round, until none is left; rounds move only those
+    and look up their pairs, the table itself is not written again. It raises only when their number has not fallen for
+    `patience` rounds.
     """
     indeg = edges.groupBy(dst).agg(F.count(F.lit(1)).alias("_in"))
     allowed = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
     cls = [*by, "_in"]
-    base = edges.select(key, src, dst, *by).join(indeg, dst)
-    current = materialize(base.withColumn("_on", F.lit(True)))
-    best, since, r = None, 0, -1
+    base = materialize(edges.select(key, src, dst, *by).join(indeg, dst))
+    size = materialize(base.groupBy(*cls).agg(F.count(F.lit(1)).alias("_n")))
+    first = materialize(_cycled(base, key, dst, cls, f"{seed}l0"))
+    # what later rounds have moved stands for its rows of the first table
+    moved = first.limit(0)
+    crowded = first.groupBy(src, dst).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > allowed)
+    best, since, r = None, 0, 0
     while True:
-        r += 1
-        act = current.where("_on")
-        a = ordered(act.drop(dst), cls, [hashed_long(f"{seed}l{r}", key), key], rank="_r")
-        b = ordered(act.select(*cls, dst, F.col(key).alias("_k")), cls, [hashed_long(f"{seed}m{r}", "_k"), "_k"], rank="_r")
-        moved = a.join(b.drop("_k"), [*cls, "_r"]).select(key, src, dst, *cls)
-        allrows = materialize(moved.unionByName(current.where(~F.col("_on")).select(key, src, dst, *cls)))
-        copies = ordered(allrows.select(src, dst, key), [src, dst], [key], rank="_c").select(key, "_c")
-        dup = allrows.join(copies, key).withColumn("_dup", F.col("_c") > allowed)
-        n = dup.where("_dup").count()
+        now = first.join(moved.select(key), key, "left_anti").unionByName(moved)
+        # only a pair that a round has moved can be parallel, and only its rows are numbered
+        there = materialize(join_groups(now, materialize(crowded).select(src, dst), [src, dst], "left_semi"))
+        dup = materialize(ordered(there, [src, dst], [key], rank="_c").where(F.col("_c") > allowed).drop("_c"))
+        n = dup.count()
         if n == 0:
-            return dup.select(key, src, dst, *by)
-        best, since = (n, 0) if best is None or n < best else (best, since + 1)
+            return now.select(key, src, dst, *by)
+        best, since, r = (n, 0, r + 1) if best is None or n < best else (best, since + 1, r + 1)
         if since >= patience:
             raise ValueError(f"{n} parallel edges left, no fewer than {best} for {patience} rounds")
-        share = dup.groupBy(*cls).agg(F.count_if("_dup").alias("_d"), F.count(F.lit(1)).alias("_n")).where("_d > 0")
-        near = F.coalesce(hashed_unit(f"{seed}j{r}", key) < 4 * F.col("_d") / F.col("_n"), F.lit(False))
-        current = materialize(dup.join(share, cls, "left").withColumn("_on", F.col("_dup") | near).select(key, src, dst, *cls, "_on"))
+        share = join_groups(dup.groupBy(*cls).agg(F.count(F.lit(1)).alias("_d")), size, cls)
+        near = hashed_unit(f"{seed}j{r}", key) < 4 * F.col("_d") / F.col("_n")
+        on = join_groups(now, share, cls).join(dup.select(key, F.lit(True).alias("_dup")), key, "left").where(F.col("_dup").isNotNull() | near)
+        on = materialize(_cycled(materialize(on.select(key, src, dst, *cls)), key, dst, cls, f"{seed}l{r}"))
+        moved = materialize(moved.join(on.select(key), key, "left_anti").unionByName(on))
+        now = first.join(moved.select(key), key, "left_anti").unionByName(moved)
+        pairs = materialize(moved.select(src, dst).distinct())
+        crowded = join_groups(now, pairs, [src, dst], "left_semi").groupBy(src, dst).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > allowed)
+
+
+def _cycled(rows: DataFrame, key: str, dst: str, cls: list[str], seed: str) -> DataFrame:
+    """Each row with the target of the row before it, in random order inside its class; the first takes that of the last."""
+    rows = rows.withColumn("_h", hashed_long(seed, key))
+    last = rows.groupBy(*cls).agg(F.max_by(dst, F.struct("_h", key)).alias("_last"))
+    turned = ordered(materialize(rows), cls, ["_h", key], rank="_r", previous={"_new": F.col(dst)})
+    turned = join_groups(turned, last, cls).withColumn(dst, F.when(F.col("_r") == 1, F.col("_last")).otherwise(F.col("_new")))
+    return turned.drop("_h", "_r", "_new", "_last")

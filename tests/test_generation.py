@@ -116,6 +116,31 @@ def test_rewiring_keeps_degrees(spark):
         assert sorted(r[side] for r in out) == sorted(r[side] for r in e.collect())
 
 
+def test_rewiring_writes_the_table_a_bounded_number_of_times(spark, monkeypatch):
+    """Rounds after the first write the edges they move, not the table; joint counts per class stay, rows without a block too."""
+    edges = [(f"e{i}", i % 400, (i * 7) % 300, None if i % 5 == 4 else i % 2) for i in range(1_200)]
+    e = spark.createDataFrame(edges, "id string, s long, t long, b long")
+    whole, write = [], sg.materialize
+
+    def counted(df):
+        out = write(df)
+        whole.append(out.count() >= 1_200)
+        return out
+
+    monkeypatch.setattr(sg, "materialize", counted)
+    out = sg.rewire(e, "id", "s", "t", ["b"], patience=30).collect()
+    assert len(out) == 1_200 and sum(whole) <= 3
+    assert sorted(r["t"] for r in out) == sorted(x[2] for x in edges)
+    assert sorted((str(r["b"]), r["s"]) for r in out) == sorted((str(x[3]), x[1]) for x in edges)
+    count = {}
+    for r in out:
+        count[r["s"], r["t"]] = count.get((r["s"], r["t"]), 0) + 1
+    real = {}
+    for _, a, b, _ in edges:
+        real[a, b] = real.get((a, b), 0) + 1
+    assert max(count.values()) <= max(real.values())
+
+
 def test_rows_of_large_counts_come_from_many_tasks(spark):
     counts = spark.range(64).select(F.col("id").alias("cell"), F.lit(50).alias("n"))
     made = sg.expand(counts, "n", "place")
