@@ -116,3 +116,15 @@ def test_largest_entry_counts_places_where_signs_cancel(spark):
     rows = spark.createDataFrame([(1, "bi bb ac"), (2, "ac"), (3, "bi bb")], "doc_id long, text string")
     got = {r["doc_id"]: (r["total"], r["top"]) for r in embedding_summary(rows).collect()}
     assert got == {1: (-1.0, 0.0), 2: (-1.0, -1.0), 3: (0.0, 0.0)}
+
+
+def test_grams_of_a_long_text_take_linear_time(spark):
+    import time
+
+    words = [f"w{i % 59_000}" for i in range(60_000)]
+    rows = spark.createDataFrame([(" ".join(words), True), ("a b a b a", False), ("", False)], "text string, is_real boolean")
+    assert [r["g"] for r in rows.select(tx.joined_ngrams(F.split("text", " "), 3, " ").alias("g")).collect()][1:] == [["a b a", "b a b", "a b a"], []]
+    start = time.perf_counter()
+    got = {(r["side"], r["metric"]): r["value"] for r in tm.lexical_report(rows, "text").collect()}
+    assert time.perf_counter() - start < 60
+    assert got["real", "repeated_3gram_rate"] == pytest.approx((60_000 - 2 - 59_000) / (60_000 - 2)) and got["synthetic", "repeated_3gram_rate"] == pytest.approx(1 / 3)
