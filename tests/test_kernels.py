@@ -73,3 +73,24 @@ def test_intermediate_tables_are_written_once(spark):
     df = k.materialize(spark.range(5))
     assert k.materialize(df) is df and df.count() == 5
     assert "FileScan" in df._jdf.queryExecution().executedPlan().toString() or "Scan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_expressions_of_an_order_are_worked_out_once_a_row(spark, rows, hot):
+    """A sort must compare columns: an expression left in it would be worked out in every comparison."""
+    seen = []
+    df = spark.createDataFrame(rows)
+    real = k.materialize
+    try:
+        k.materialize = lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d)
+        out = k.ordered(df, ["g"], ["t", hashed_long("s", "id"), F.desc("id")], rank="rk", hot=hot)
+    finally:
+        k.materialize = real
+    assert not any("md5" in line for plan in seen for line in plan.splitlines() if "Sort" in line or "RepartitionByExpression" in line)
+    assert set(out.columns) == {*rows.columns, "rk"} and out.select("g", "rk").distinct().count() == len(rows)
+
+
+def test_ranks_in_steps_equal_ranks_by_window(spark, rows):
+    df = spark.createDataFrame(rows).withColumns({"g": F.when(F.col("g") != "a", F.col("g")), "t": F.when(F.col("t") != 7, F.col("t"))})
+    want = k.ordered(df, ["g"], ["t", hashed_long("s", "id"), "id"], rank="rk").select("id", "rk").orderBy("id").collect()
+    assert k.ranked_in_steps(df, ["g"], "t", [hashed_long("s", "id"), "id"], "rk").select("id", "rk").orderBy("id").collect() == want
