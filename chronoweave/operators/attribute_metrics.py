@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.kernels import aligned_counts, guarded_corr, quantiles, rate
+from chronoweave.functions.kernels import aligned_counts, discard, finished, guarded_corr, in_pieces, quantiles, rate
 from chronoweave.operators import two_sample as ts
 from chronoweave.operators.two_sample import metric_rows, stack_reports
 
@@ -232,18 +232,31 @@ def grouped_standardized_error(rows: DataFrame, group: str, target: str, predict
     return g.agg((F.sum(F.col("e") * F.col("n")) / F.sum("n") / max(scale, 1e-12)).alias("weighted_error"))
 
 
-def affinity_diagnostics(both: DataFrame, vectors: tuple[DataFrame, DataFrame], gate: str = "gate", alpha: float = 100.0) -> DataFrame:
+def affinity_diagnostics(both: DataFrame, vectors: tuple[DataFrame, DataFrame], gate: str = "gate", alpha: float = 100.0, piece_rows: int = 2_000_000) -> DataFrame:
     """(metric, value): mean and median gated affinity of both sides, and the KS between their pair scores."""
     from chronoweave.functions.cleaning import array_sum
     from chronoweave.operators.priors import time_gates
 
     cv, pv = vectors
-    rows = both.join(cv.select("customer_id", F.col("vector").alias("u")), "customer_id").join(pv.select("product_id", F.col("vector").alias("v")), "product_id")
-    g = time_gates(rows.where("is_real"), gate, "u", "v", alpha).groupBy(gate).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "weight"))), lambda x: x["weight"]).alias("w"))
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(cv.select("customer_id", F.col("vector").alias("u")), "customer_id").join(pv.select("product_id", F.col("vector").alias("v")), "product_id")
+
+    def gates() -> DataFrame:
+        found = time_gates(met(both.where("is_real")), gate, "u", "v", alpha)
+        return found.groupBy(gate).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "weight"))), lambda x: x["weight"]).alias("w"))
+
+    g = finished(gates)
     prod = F.zip_with("u", "v", lambda a, b: a * b)
     # a gate never fitted weighs every dimension alike
     gated = F.when(F.col("w").isNotNull(), F.zip_with(prod, "w", lambda a, b: a * b)).otherwise(prod)
-    scored = rows.join(g, gate, "left").select("is_real", F.round(array_sum(gated), 12).alias("score"))
+
+    def score(rows: DataFrame) -> DataFrame:
+        return met(rows).join(g, gate, "left").select("is_real", F.round(array_sum(gated), 12).alias("score"))
+
+    # vectors are many times as wide as the rows: they join pieces of them, and only the scores are kept
+    rows = finished(lambda: both.select("is_real", "customer_id", "product_id", gate))
+    scored = finished(lambda: in_pieces(rows, ["customer_id", "product_id"], score, piece_rows))
+    discard(rows)
     mean = scored.agg(F.avg(on_side(True, F.col("score"))).alias("mean_real"), F.avg(on_side(False, F.col("score"))).alias("mean_synthetic"))
     med = quantiles(scored, "score", {"m": 0.5}, ["is_real"]).select(F.when(F.col("is_real"), "median_real").otherwise("median_synthetic").alias("metric"), F.col("m").alias("value"))
     ks = ts.ks_distance(scored, "score", empty=0.0)
