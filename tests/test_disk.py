@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import kernels as kn
+from chronoweave.operators import reserved_pairs as rp
 from chronoweave.operators import spine_generation as sg
 
 
@@ -110,3 +111,10 @@ def test_endpoints_take_the_first_accepted_proposal(spark):
     # the first proposal is taken where it passes, whatever comes after it
     one = sg.endpoints_near(draws, "draw", ["b"], "time", e, "x", "customer_id", bw, tries=4)
     assert rows(got.select("draw")) == rows(one.select("draw"))
+
+
+def test_changed_partners_leave_one_round(spark):
+    stubs = spark.createDataFrame([(i, 0, 0, i % 6, i % 3 + 3 * (i // 9)) for i in range(36)], "event_id long, customer_block long, product_block long, customer_id long, product_id long")
+    out, left = grown(spark, lambda: rp.change_partners(kn.materialize(stubs), "event_id", stubs.limit(0)))
+    assert out.groupBy("customer_id", "product_id").count().where("count > 1").isEmpty()
+    assert len(left) <= 3  # the input, what is forbidden, the last round
