@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import kernels as kn
+from chronoweave.operators import event_auction as ea
 from chronoweave.operators import reserved_pairs as rp
 from chronoweave.operators import spine_generation as sg
 
@@ -118,3 +119,11 @@ def test_changed_partners_leave_one_round(spark):
     out, left = grown(spark, lambda: rp.change_partners(kn.materialize(stubs), "event_id", stubs.limit(0)))
     assert out.groupBy("customer_id", "product_id").count().where("count > 1").isEmpty()
     assert len(left) <= 3  # the input, what is forbidden, the last round
+
+
+def test_auction_rounds_leave_the_last(spark):
+    slots = spark.createDataFrame([(f"s{i:03}", i % 7, 0, None) for i in range(60)], "slot string, customer_id long, product_block int, day date")
+    candidates = spark.createDataFrame([(f"s{i:03}", p, (i * 31 + p * 17) % 50 * ea.UNIT // 10) for i in range(60) for p in range(3)], "slot string, product_id long, score long")
+    capacity = spark.createDataFrame([(p, 0, 20) for p in range(3)], "product_id long, product_block int, capacity long")
+    done, left = grown(spark, lambda: ea.auction(slots, candidates, capacity, 6))
+    assert done.rounds.count() > 2 and len(left) <= 4  # slots, candidates, prices, what is held
